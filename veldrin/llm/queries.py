@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing
+from . import fingerprint, language_id, mixing, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.report(secret_scan.scan(docs))
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained on the documents whose crc32 remainder is not 0; predicts all."""
     docs = table(spark, sf_dir, "documents")
@@ -54,5 +63,10 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_language_id": op5_language_id, "op9_mixing": op9_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op5_language_id": op5_language_id,
+    "op9_mixing": op9_mixing,
+    "op10_fingerprint": op10_fingerprint,
+}
 SQL: dict[str, str] = {"op9_mixing": OP9_SQL}
