@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language_id, minhash, mixing, secret_scan
+from . import bin_output, fingerprint, language_id, minhash, mixing, packing, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per sequence: its documents, segment ends, and checksums of its id row and its position row."""
+    packed = bin_output.sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.select("sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained on the documents whose crc32 remainder is not 0; predicts all."""
     docs = table(spark, sf_dir, "documents")
@@ -69,6 +79,8 @@ FROM placed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_token_output": op3_token_output,
+    "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
     "op6_minhash": op6_minhash,
     "op9_mixing": op9_mixing,
