@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_output, fingerprint, language_id, minhash, mixing, packing, secret_scan
+from . import bin_output, embedding_dedup, fingerprint, language_id, line_dedup, minhash, mixing, packing, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,16 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its lines, those that went, and what is left, as a digest."""
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("n_words"))
     plan = mixing.plan_mix(docs, size="n_words")
@@ -83,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
     "op6_minhash": op6_minhash,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_fingerprint": op10_fingerprint,
 }
