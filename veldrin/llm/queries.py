@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_output, embedding_dedup, fingerprint, language_id, line_dedup, minhash, mixing, packing, secret_scan
+from . import bin_output, embedding_dedup, fingerprint, language_id, line_dedup, minhash, mixing, packing, secret_scan, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to ARC files, these to WARC files, and what reading those back gives."""
+    arcs = warc.write_arcs(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    back = warc.resolved(warc.scan_warcs(warc.convert(arcs)))
+    number = [F.expr(f"try_cast({c} as long)") for c in ("key", "refers_to")]
+    return back.select(number[0].alias("page_id"), "payload_bytes", "payload_digest", "record_type", number[1].alias("refers_to"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per sequence: its documents, segment ends, and checksums of its id row and its position row."""
     packed = bin_output.sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -89,6 +97,7 @@ FROM placed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_warc": op2_warc,
     "op3_token_output": op3_token_output,
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
