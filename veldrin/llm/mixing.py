@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, total_share: float = 1.5, passes: int = 2, weights
     """_key, source_size, target and place of every source, from (_key, source_size).
 
     The level at which each source gets weight times level words, or all its passes where that is less, follows from
-    sorting sources by passes * size / weight: the first level that its source's own limit admits is the one.
+    sorting sources by passes * size / weight: the first level that its source's own limit admits, which is the highest such.
     """
     place = Window.orderBy("_key")
     ranked = sizes.withColumn("place", F.row_number().over(place) - 1)
@@ -58,7 +58,7 @@ def targets(sizes: DataFrame, total_share: float = 1.5, passes: int = 2, weights
     asked = F.sum("source_size").over(Window.partitionBy()) * float(total_share)
     ranked = ranked.withColumn("_most", passes * F.col("source_size").cast("double")).withColumn("_limit", F.col("_most") / F.col("_w"))
     ranked = ranked.withColumn("_level", (asked - F.coalesce(F.sum("_most").over(before), F.lit(0.0))) / F.sum("_w").over(after))
-    ranked = ranked.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_limit"), F.col("_level"))).over(Window.partitionBy()))
+    ranked = ranked.withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_limit"), F.col("_level"))).over(Window.partitionBy()))
     return ranked.select("_key", "source_size", "place", F.least("_most", F.coalesce(F.col("_level") * F.col("_w"), F.col("_most"))).alias("target"))
 
 

@@ -85,7 +85,7 @@ levels AS (
          / sum(w) OVER (ORDER BY most / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
   FROM weighed),
 goal AS (
-  SELECT source, source_size, least(most, coalesce((SELECT min(lvl) FROM levels WHERE lvl <= lim) * w, most)) AS target FROM levels),
+  SELECT source, source_size, least(most, coalesce((SELECT max(lvl) FROM levels WHERE lvl <= lim) * w, most)) AS target FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, g.source_size, g.target,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
