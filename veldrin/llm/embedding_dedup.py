@@ -121,7 +121,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     block = F.pmod(F.xxhash64("row", "table"), F.col("blocks")).cast("int")
     moved = moved.withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("side", "other"), F.greatest("side", "other")
-    moved = moved.withColumn("pair", F.col("side") != F.col("other")).withColumn("group", F.struct("group", "label", F.size("unit").alias("dim"), "table", F.element_at("codes", F.col("table") + 1).alias("code"), lo.alias("lo"), hi.alias("hi")))
+    moved = moved.withColumn("pair", F.col("side") != F.col("other")).withColumn("group", F.struct("label", F.size("unit").alias("dim"), "table", F.element_at("codes", F.col("table") + 1).alias("code"), lo.alias("lo"), hi.alias("hi")))
     counted = stage(moved.groupBy("group").applyInPandas(lambda pdf: _group(pdf, least), "row long, n long, to long"), "counted")
     total = counted.groupBy(F.col("row").alias("_r")).agg(F.sum("n").alias("n_links"))
     names = fit.select(F.col("row").alias("_r"), F.col("id").alias("_id"))
