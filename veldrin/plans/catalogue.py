@@ -514,7 +514,7 @@ FROM {customer} JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON l_orde
 GROUP BY r_name, n_name""", ("customer", "orders", "lineitem", "nation", "region"))
 _sql("orders_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", ("orders",))
 _sql("parts_cube", "SELECT p_brand, p_size, count(*) AS n FROM {part} GROUP BY CUBE (p_brand, p_size)", ("part",))
-_sql("customers_without_orders", "SELECT c_custkey FROM {customer} EXCEPT SELECT o_custkey FROM {orders}", ("customer", "orders"))
+_sql("parts_never_bulk", "SELECT p_partkey FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity > 45", ("part", "lineitem"))
 _sql("customers_with_orders", "SELECT c_custkey FROM {customer} INTERSECT SELECT o_custkey FROM {orders}", ("customer", "orders"))
 _sql("top_orders", "SELECT o_custkey, o_orderkey, o_totalprice, rk FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM {orders}) t WHERE rk <= 3", ("orders",))
 _sql("suppliers_semi", "SELECT s_suppkey, s_name FROM {supplier} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_suppkey = s_suppkey AND l_quantity > 45)", ("supplier", "lineitem"))
