@@ -55,16 +55,26 @@ def prefix_sums(lengths: Column, block: int = 256) -> Column:
     return F.flatten(F.zip_with(parts, starts, lambda p, s: F.transform(_fold(p), lambda v: v + s)))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: what a lambda refers to is evaluated for each element otherwise."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def find(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, hit, inner>> of the leftmost non-overlapping matches."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long")), F.lit(1), F.size(hits))
-    moved = prefix_sums(F.zip_with(gaps, hits, lambda g, h: g + F.length(h)))
-    starts = F.zip_with(moved, gaps, lambda m, g: m + g)
-    found = F.zip_with(F.zip_with(starts, hits, lambda s, h: F.struct(s.alias("start"), h.alias("hit"))), inner, lambda a, i: F.struct(a["start"].alias("start"), a["hit"].alias("hit"), i.alias("inner")))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
+
+    def spans(p: Column) -> Column:
+        gap = F.slice(p["gaps"], F.lit(1), F.size(p["hits"]))
+        moved = _let(F.zip_with(gap, p["hits"], lambda g, h: g + F.length(h)), lambda v: prefix_sums(v))
+        starts = F.zip_with(moved, gap, lambda m, g: m + g)
+        placed = F.zip_with(starts, p["hits"], lambda s, h: F.struct(s.alias("start"), h.alias("hit")))
+        return F.zip_with(placed, p["inner"], lambda a, i: F.struct(a["start"].alias("start"), a["hit"].alias("hit"), i.alias("inner")))
+
     none = F.array().cast("array<struct<start:bigint,hit:string,inner:string>>")
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), _let(F.struct(hits.alias("hits"), inner.alias("inner"), gaps.alias("gaps")), spans)).otherwise(none)
 
 
 def _windows(block: Column) -> Column:
