@@ -84,9 +84,10 @@ def pack_sizes(sizes: list[int], capacity: int) -> tuple[list[int], int]:
     m = max(1, -(-sum(sizes) // capacity))
     while True:
         slots = differencing(sizes, m)
-        if not sizes or np.bincount(slots, sizes).max() <= capacity:
+        over = int(np.bincount(slots, sizes).max()) - capacity if sizes else 0
+        if over <= 0:
             return slots, m
-        m += 1
+        m += max(1, over * m // capacity)  # what is over, dealt out, lowers the mean fill by a window's share each
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, piece: int) -> Iterator[pa.RecordBatch]:

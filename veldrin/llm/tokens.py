@@ -17,7 +17,7 @@ import regex
 from tokenizers import Tokenizer
 
 END = 1
-CACHED = 600_000
+CACHED = 1_200_000
 #: Characters that str.split takes as white space and the vocabulary doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Beyond the Latin blocks (or an I with a dot, which lower case makes two characters).
