@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -47,6 +49,17 @@ def discard(df: DataFrame | None) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of plans that are done, instead of when the driver runs low on memory.
+
+    Twice, as the first collection frees what Python held, and only the next one the plans behind it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Cut Arrow batches so that the texts of a slice hold about `most` bytes, a longer one alone; texts are never cut."""
     for batch in batches:
@@ -89,7 +102,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = (
             large.join(low, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

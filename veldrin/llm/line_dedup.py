@@ -22,37 +22,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleared, connected_components, discard, stage
+from .common import cleared, discard, release, stage
 from .linking import link, shared_buckets
 
 ERRORS = 2
 LEAST = 24
 
 
-def _segments(length: Column, errors: int) -> list[tuple[Column, Column]]:
-    """(start, size), from 1, of the errors + 1 segments of a line of that length; the last ones are one longer."""
-    k = errors + 1
-    base, more = F.floor(length / k).cast("int"), (length % k).cast("int")
-    out, start = [], F.lit(1)
-    for i in range(k):
-        size = base + (F.lit(i) >= k - more).cast("int")
-        out.append((start, size))
-        start = start + size
-    return out
-
-
 def keys(line: Column, length: Column, errors: int) -> Column:
-    """array<bigint>: the line's index keys and its probe keys."""
-    k, found = errors + 1, []
+    """array<bigint>: the line's index keys and its probe keys. length should be a column that is there: it is used often.
+
+    A line of n characters has errors + 1 segments of n // (errors + 1), the last ones longer by one. The places to
+    probe (length difference d, segment i, shift s) are few and fixed, and one expression goes over them.
+    """
+    k, places = errors + 1, []
     for d in range(errors + 1):
-        shorter = length - d
-        for i, (start, size) in enumerate(_segments(shorter, errors)):
+        for i in range(k):
             lo, hi = max(-i, d - (k - 1 - i)), min(i, d + (k - 1 - i))
-            for shift in range(lo, hi + 1):
-                part = F.substring(line, start + shift, size)
-                fits = (start + shift >= 1) & (start + shift + size - 1 <= length) & (shorter > k)
-                found.append(F.when(fits, F.xxhash64(F.lit(i), shorter, part)))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+            places += [F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for s in range(lo, hi + 1)]
+
+    def key(p: Column) -> Column:
+        shorter = length - p["d"]
+        base, short_ones = F.floor(shorter / k).cast("int"), k - shorter % k
+        start = 1 + p["s"] + p["i"] * base + F.greatest(F.lit(0), p["i"] - short_ones)
+        size = base + (p["i"] >= short_ones).cast("int")
+        fits = (start >= 1) & (start + size - 1 <= length) & (shorter > k)
+        return F.when(fits, F.xxhash64(p["i"], shorter, F.substring(line, start, size)))
+
+    return F.array_distinct(F.array_compact(F.transform(F.array(*places), key)))
 
 
 def within(a: list[str], b: list[str], errors: int) -> np.ndarray:
@@ -146,29 +143,34 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     lines = docs.select(*key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("_n", "_line")).withColumn("_line", F.trim("_line"))
     lines = lines.where(F.length("_line") >= least).withColumn("_d", F.unhex(F.md5(F.col("_line").cast("binary"))))
     seen = stage(lines.select("_i", "_h", "_n", "_d"), "lines")
-    distinct = stage(lines.groupBy("_d").agg(F.any_value("_line").alias("_line")), "distinct")
-    length = F.length("_line")
-    members = stage(shared_buckets(distinct.select(F.explode(keys(F.col("_line"), length, errors)).alias("key"), F.col("_d").alias("id"))), "buckets")
-    wanted = members.select("id").distinct()
-    near = stage(distinct.join(wanted, F.col("_d") == F.col("id"), "left_semi"), "near")
+    # numbers are given as the table is written, so they are settled for all that reads it
+    distinct = stage(lines.groupBy("_d").agg(F.any_value("_line").alias("_line")).select(F.monotonically_increasing_id().alias("_no"), "_d", "_line", F.length("_line").alias("_len")), "distinct")
+    release(docs.sparkSession)
+    indexed = distinct.select(F.explode(keys(F.col("_line"), F.col("_len"), errors)).alias("key"), F.col("_no").alias("id"))
+    members = stage(shared_buckets(indexed), "buckets")
+    release(docs.sparkSession)
+    near = stage(distinct.join(members.select("id").distinct(), F.col("_no") == F.col("id"), "left_semi"), "near")
     discard(distinct)
+    release(docs.sparkSession)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        x = near.select(F.col("_d").alias("_x"), F.col("_line").alias("x"))
-        y = near.select(F.col("_d").alias("_y"), F.col("_line").alias("y"))
-        both = pairs.join(y, F.col("b") == F.col("_y")).join(x, F.col("a") == F.col("_x")).where(F.abs(F.length("x") - F.length("y")) <= errors)
-        return both.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, errors), "a binary, b binary")
-
-    links = link(members, confirm)
+        x = near.select(F.col("_no").alias("_x"), F.col("_line").alias("x"), F.col("_len").alias("nx"))
+        y = near.select(F.col("_no").alias("_y"), F.col("_line").alias("y"), F.col("_len").alias("ny"))
+        both = pairs.join(y, F.col("b") == F.col("_y")).join(x, F.col("a") == F.col("_x")).where(F.abs(F.col("nx") - F.col("ny")) <= errors)
+        return both.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, errors), "a long, b long")
+
+    found = link(members, confirm)
+    if found is None:
+        classes = docs.sparkSession.createDataFrame([], "digest binary, class binary")
+        named = seen.select("_i", "_h", "_n", F.col("_d").alias("_c"))
+    else:
+        digests = near.select("_no", "_d")
+        classes = found.join(digests, F.col("id") == F.col("_no")).select(F.col("_d").alias("digest"), "component").join(digests, F.col("component") == F.col("_no")).select("digest", F.col("_d").alias("class"))
+        classes = stage(classes, "classes")
+        named = seen.join(classes, F.col("_d") == F.col("digest"), "left").select("_i", "_h", "_n", F.coalesce("class", "_d").alias("_c"))
     for t in (members, near):
         discard(t)
-    classes = None
-    if links is not None:
-        classes = stage(connected_components(links), "classes")
-        named = seen.join(classes.withColumnRenamed("id", "_id"), F.col("_d") == F.col("_id"), "left").select("_i", "_h", "_n", F.coalesce("component", "_d").alias("_c"))
-    else:
-        classes = docs.sparkSession.createDataFrame([], "id binary, component binary")
-        named = seen.select("_i", "_h", "_n", F.col("_d").alias("_c"))
+    release(docs.sparkSession)
     firsts = named.groupBy("_c").agg(F.min(F.struct("_i", "_h", "_n")).alias("_f"), F.max(F.struct("_i", "_h", "_n")).alias("_l")).where("_f <> _l").select(F.col("_c").alias("_k"), "_f")
     drops = named.join(firsts, F.col("_c") == F.col("_k")).where(F.struct("_i", "_h", "_n") != F.col("_f"))
     return drops.groupBy(F.col("_i").alias("_di"), F.col("_h").alias("_dh")).agg(F.collect_set("_n").alias("_drop")), classes
