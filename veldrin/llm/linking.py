@@ -3,8 +3,9 @@
 Rows (key, id) say that ids under one key may be alike; a function confirms pairs on the full data. Components of the
 confirmed links are wanted, and every pair that shares a key must be confirmed unless its ends are already together:
 
-1. Greedy rounds: each id is tried with one other only, the smallest id that leads a bucket of both and is not yet in
-   its component. Groups of near copies, however large, mostly end here, at one pair an id and round.
+1. Greedy rounds: each id is tried with PARTNERS others, drawn by a hash from the leaders of its buckets that aren't
+   in its component; a bucket's leader is drawn by a hash too, anew in each round. Groups of near copies, however
+   large, mostly end here, at a few pairs an id and round.
 2. Exact rounds: a bucket whose members lie in several components is open. Each member outside the bucket's largest
    component is tried with all members of other components. Then no pair with a common key is untried, so the links
    missed are those that no key shows.
@@ -17,58 +18,64 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, stage
 
+PARTNERS = 4
+
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """The rows (key, id) whose key has several ids."""
-    several = rows.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo <> _hi").select(F.col("key").alias("_k"))
+    """The rows (key, id), each once, whose key has several ids."""
+    several = rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("_k"))
     return rows.join(several, F.col("key") == F.col("_k"), "left_semi")
 
 
-def _labels(links: DataFrame | None, members: DataFrame) -> DataFrame:
-    """(key, id, comp) of the members under the components of the links so far."""
-    if links is None:
-        return members.withColumn("comp", F.col("id"))
-    comps = connected_components(links).select(F.col("id").alias("_id"), "component")
-    return members.join(comps, F.col("id") == F.col("_id"), "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-
-
-def link(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], greedy: int = 4) -> DataFrame | None:
-    """(a, b): confirmed links that give the components of all confirmed pairs. None if there are none.
+def link(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], greedy: int = 2, sketches: DataFrame | None = None, possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None) -> DataFrame | None:
+    """(id, component) of the ids with confirmed links, by all links between ids that share a key. None if there are none.
 
     members: a staged table of (key, id) of shared buckets. confirm takes (a, b) rows and keeps those that are links.
+    sketches (id, and columns of plain numbers) and possible(x, y), given functions from a column's name to it on either
+    side, spare the exact round pairs that can't be links; they are ruled out while they are joined.
     """
-    links = None
+    links = comps = None
 
-    def add(pairs: DataFrame) -> int:
-        nonlocal links
+    def add(pairs: DataFrame) -> bool:
+        nonlocal links, comps
         new = stage(confirm(pairs), "links")
-        n = new.count()
-        if n:
-            old, links = links, new if links is None else stage(links.union(new), "links")
-            discard(old)
-        return n
-
-    found = 1
-    for _ in range(greedy):
-        labelled = stage(_labels(links, members), "members")
-        lead = labelled.groupBy("key").agg(F.min("id").alias("a"), F.min_by("comp", "id").alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
-        open_rows = labelled.join(lead.select(F.col("key").alias("_k"), "a", "_c"), F.col("key") == F.col("_k")).where("comp <> _c and id <> a")
-        pairs = open_rows.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-        found = add(pairs)
-        discard(labelled)
+        if new.isEmpty():
+            return False
+        links = new if links is None else links.union(new)
+        comps = stage(connected_components(links), "components")
+        return True
+
+    def labelled() -> DataFrame:
+        if comps is None:
+            return members.withColumn("comp", F.col("id"))
+        at = comps.select(F.col("id").alias("_id"), "component")
+        return stage(members.join(at, F.col("id") == F.col("_id"), "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "members")
+
+    for r in range(greedy):
+        rows = labelled()
+        lead = rows.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(r))).alias("l"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
+        apart = rows.join(lead.select(F.col("key").alias("_k"), F.col("l.id").alias("a"), F.col("l.comp").alias("_c")), F.col("key") == F.col("_k")).where("comp <> _c")
+        drawn = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("a", "id", F.lit(r)).alias("h"), "a"))), 1, PARTNERS)  # a set of the id's own keys at most
+        tried = apart.groupBy(F.col("id").alias("b")).agg(drawn.alias("d")).select("b", F.explode("d.a").alias("a"))
+        found = add(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        discard(rows)
         if not found:
             break
-    labelled = stage(_labels(links, members), "members")
-    by_comp = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    rows = labelled()
+    by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     largest = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("_top"), F.count("*").alias("_n")).where("_n > 1").select(F.col("key").alias("_k"), F.col("_top.comp").alias("_most"))
-    still = stage(labelled.join(largest, F.col("key") == F.col("_k")).select("key", "id", "comp", (F.col("comp") == F.col("_most")).alias("most")), "members")
-    x = still.where("not most").select(F.col("key").alias("_k"), F.col("id").alias("x"), F.col("comp").alias("_c"))
-    pairs = still.join(x, (F.col("key") == F.col("_k")) & (F.col("comp") != F.col("_c")) & (F.col("most") | (F.col("id") > F.col("x"))))
-    add(pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct())
-    discard(labelled)
-    return links
+    still = stage(rows.join(largest, F.col("key") == F.col("_k")).select("key", "id", "comp", (F.col("comp") == F.col("_most")).alias("most")), "members")
+    if not still.isEmpty():
+        words = [] if sketches is None else [c for c in sketches.columns if c != "id"]
+        one = still if sketches is None else still.join(sketches.withColumnRenamed("id", "_s"), F.col("id") == F.col("_s")).drop("_s")
+        x = one.where("not most").select(F.col("key").alias("_k"), F.col("id").alias("x"), F.col("comp").alias("_c"), *[F.col(c).alias(f"_x_{c}") for c in words])
+        meet = (F.col("key") == F.col("_k")) & (F.col("comp") != F.col("_c")) & (F.col("most") | (F.col("id") > F.col("x")))
+        pairs = one.join(x, meet if sketches is None else meet & possible(F.col, lambda c: F.col(f"_x_{c}")))
+        add(pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct())
+    discard(rows)
+    return comps

@@ -15,15 +15,17 @@ results. Texts are read whole; memory in a Python worker is that of its longest
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_utf8, connected_components, discard, stage, text_slices
+from .common import as_utf8, discard, stage, text_slices
 from .linking import link, shared_buckets
 
 BANDS = 52
@@ -33,6 +35,8 @@ _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 64, PERMUTATIONS, np.uint64)
 _MUL = _rng.integers(0, 1 << 64, PERMUTATIONS, np.uint64) | np.uint64(1)
 CHUNK = 1 << 14
+#: Ranges of the hash space whose occupation bounds intersections.
+PLACES = 2048
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -118,7 +122,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
     wanted = members.select("id").distinct().withColumnRenamed("id", "_w")
     sets = stage(
         texts.join(wanted, F.col("id") == F.col("_w"), "left_semi").dropDuplicates(["id"])
-        .mapInArrow(lambda it: _sets(it, words), "id long, n long, items array<long>"), "sets")
+        .mapInArrow(lambda it: _sets(it, words), "id long, n long, items array<long>, bits array<long>"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("_i"), F.col("n").alias("na"), F.col("items").alias("sa"))
@@ -127,12 +131,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
         both = both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).withColumn("k", F.size(F.array_intersect("sa", "sb")))
         return both.where(100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
 
-    links = link(members, confirm)
-    if links is None:
+    words_of = [F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(PLACES // 64)]
+    sketches = sets.select("id", "n", F.aggregate("bits", F.lit(0), lambda s, w: s + F.bit_count(w)).alias("places"), *words_of)
+    found = link(members, confirm, sketches=sketches, possible=lambda x, y: _possible(x, y, percent))
+    if found is None:
         comps = classes.select(F.col("digest").alias("_d"), F.col("rep").alias("comp"))
     else:
-        found = connected_components(links).select(F.col("id").alias("_i"), "component")
-        comps = classes.join(found, F.col("rep") == F.col("_i"), "left").select(F.col("digest").alias("_d"), F.coalesce("component", "rep").alias("comp"))
+        comps = classes.join(found.withColumnRenamed("id", "_i"), F.col("rep") == F.col("_i"), "left").select(F.col("digest").alias("_d"), F.coalesce("component", "rep").alias("comp"))
     out = signed.join(comps, F.col("digest") == F.col("_d"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
     done = out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -145,4 +150,20 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
     for batch, texts in text_slices(batches, 1):
         sets = [shingle_set(t, words) for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "items"])
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([occupied(s) for s in sets], pa.list_(pa.int64()))],
+            names=["id", "n", "items", "bits"])
+
+
+def occupied(s: np.ndarray) -> np.ndarray:
+    """A bit for each of PLACES ranges of the hashes that holds an item of the set."""
+    bits = np.zeros(PLACES, np.uint8)
+    bits[(s >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _possible(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
+    """Whether two sets can be similar enough: each range occupied in one set only hides an item that the other lacks,
+    which bounds their intersection from above. No link is ruled out."""
+    either = reduce(add, [F.bit_count(x(f"w{i}").bitwiseOR(y(f"w{i}"))) for i in range(PLACES // 64)])
+    k = F.least(x("n") - (either - y("places")), y("n") - (either - x("places")))
+    return 100 * k >= percent * (x("n") + y("n") - k)
