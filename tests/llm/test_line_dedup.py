@@ -101,3 +101,41 @@ def test_hot_line_nulls_and_empty(spark):
     kept = [r.doc_id for r in rows if r.text and same in r.text]
     assert kept == [5, 5] and all(r.text == "" for r in rows if r.doc_id is None)
     assert ld.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_match_brute_force(spark):
+    rng = random.Random(3)
+    docs = [(i, "\n".join("".join(rng.choice(string.ascii_letters + "éß漢") for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8, 9, 11, 14, 23]))) for _ in range(rng.randrange(3)))) for i in range(60)]
+    docs += [(100 + i, edit(rng, t, rng.randrange(3)).replace("\n", " ") if i % 2 else t) for i, t in docs]
+    docs += [(300, "\t\n\r\n\t"), (301, "\r"), (302, "All rights reserved.\n\t"), (303, " All rights reserved."), (304, "All right reserved")]
+    places = [(i, n, s.strip(" ")) for i, t in docs for n, s in enumerate(t.split("\n")) if s.strip()]
+    texts = sorted({p[2] for p in places})
+    comp = {t: {t} for t in texts}
+    for k, x in enumerate(texts):
+        for y in texts[k + 1 :]:
+            if comp[x] is not comp[y] and distance(x, y) <= 2:
+                comp[x] |= comp[y]
+                comp.update(dict.fromkeys(comp[y], comp[x]))
+    seen, drop = set(), {}
+    for i, n, t in sorted(places):
+        if id(comp[t]) in seen:
+            drop.setdefault(i, set()).add(n)
+        seen.add(id(comp[t]))
+    got = ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    by_id = dict(docs)
+    assert len(got) == len(docs) and len({id(c) for c in comp.values()}) > 15
+    for r in got:
+        assert r.text == "\n".join(s for n, s in enumerate(by_id[r.doc_id].split("\n")) if n not in drop.get(r.doc_id, ()))
+    assert {303, 304} <= set(drop) and not {300, 301} & set(drop)
+
+
+def test_keys_meet_at_every_length(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(3000):
+        s = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 24)))
+        rows.append((s, edit(rng, s, rng.randrange(0, 4), "abcd")))
+    df = spark.createDataFrame([r for r in rows if r[1]], "x string, y string")
+    for errors in (1, 2, 3):
+        got = df.select("x", "y", F.arrays_overlap(ld.keys(F.col("x"), F.length("x"), errors), ld.keys(F.col("y"), F.length("y"), errors)).alias("meet")).collect()
+        assert all(r.meet for r in got if distance(r.x, r.y) <= errors)

@@ -1,12 +1,14 @@
 """Line dedup by a segment-partition edit join: of lines within `errors` edits of each other, the first stays.
 
-Lines (between line feeds, without outer white space) of at least `least` characters take part. Equal lines are one
-node, under a 128-bit digest. Of two lines within `errors` edits, cut the shorter into errors + 1 segments: one of them
+Lines (between line feeds, without outer spaces) that aren't blank take part, however short. Equal lines are one node,
+under a 128-bit digest. Of two lines within `errors` edits, cut the shorter into errors + 1 segments: one of them
 occurs in the other unchanged, at a place that differs by no more than the length difference and the segment's number
 allow. So every distinct line is indexed under its segments, and probes, for each length down to its own less `errors`,
-the substrings at those places: (length, segment number, substring) is the bucket key. Buckets are linked as in
-linking.py; pairs are verified by a banded bit-parallel edit distance over batches of pairs. Of each component the line
-that comes first, by id and place, stays; all others go from the texts, with their line feeds.
+the substrings at those places: (length, segment number, substring) is the bucket key. If the shorter line is so short
+that segments are none or of a character or two, the key is what up to `errors` deletions leave of a line: two lines
+within `errors` edits have one such rest in common. Buckets are linked as in linking.py; pairs are verified by a banded
+bit-parallel edit distance over batches of pairs. Of each component the line that comes first, by id and place, stays;
+all others go from the texts, with their line feeds. So lines of at most `errors` characters are all one component.
 
 Defined results: null and empty texts stay as they are; a text of which every line that isn't blank goes becomes empty,
 and `n_dropped` counts lines. Ids should be unique: rows that repeat id and text count as one place and get one result.
@@ -22,20 +24,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleared, discard, release, stage
+from .common import WORD, cleared, discard, release, stage
 from .linking import link, shared_buckets
 
 ERRORS = 2
-LEAST = 24
+LEAST = 1
 
 
 def keys(line: Column, length: Column, errors: int) -> Column:
     """array<bigint>: the line's index keys and its probe keys. length should be a column that is there: it is used often.
 
     A line of n characters has errors + 1 segments of n // (errors + 1), the last ones longer by one. The places to
-    probe (length difference d, segment i, shift s) are few and fixed, and one expression goes over them.
+    probe (length difference d, segment i, shift s) are few and fixed, and one expression goes over them. Pairs whose
+    shorter line has under 3 characters a segment meet under `rests` instead.
     """
     k, places = errors + 1, []
+    brief = 3 * k
     for d in range(errors + 1):
         for i in range(k):
             lo, hi = max(-i, d - (k - 1 - i)), min(i, d + (k - 1 - i))
@@ -46,10 +50,23 @@ def keys(line: Column, length: Column, errors: int) -> Column:
         base, short_ones = F.floor(shorter / k).cast("int"), k - shorter % k
         start = 1 + p["s"] + p["i"] * base + F.greatest(F.lit(0), p["i"] - short_ones)
         size = base + (p["i"] >= short_ones).cast("int")
-        fits = (start >= 1) & (start + size - 1 <= length) & (shorter > k)
+        fits = (start >= 1) & (start + size - 1 <= length) & (shorter >= brief)
         return F.when(fits, F.xxhash64(p["i"], shorter, F.substring(line, start, size)))
 
-    return F.array_distinct(F.array_compact(F.transform(F.array(*places), key)))
+    longer = F.when(length >= brief, F.array_compact(F.transform(F.array(*places), key))).otherwise(F.array().cast("array<bigint>"))
+    shorter = F.transform(rests(line, errors), lambda r: F.xxhash64(F.lit(-1), r))
+    return F.array_distinct(F.when(length < brief + errors, F.concat(longer, shorter)).otherwise(longer))
+
+
+def rests(line: Column, errors: int) -> Column:
+    """array<string>: what is left of a line after up to `errors` deletions, itself included."""
+    def shortened(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+
+    out = F.array(line)
+    for _ in range(errors):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, shortened))))
+    return out
 
 
 def within(a: list[str], b: list[str], errors: int) -> np.ndarray:
@@ -141,7 +158,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(_i, _h, line numbers to drop) for each document with any, and (digest, class digest) of lines in classes of several."""
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_i"), F.xxhash64(F.col(text)).alias("_h")]
     lines = docs.select(*key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("_n", "_line")).withColumn("_line", F.trim("_line"))
-    lines = lines.where(F.length("_line") >= least).withColumn("_d", F.unhex(F.md5(F.col("_line").cast("binary"))))
+    lines = lines.where((F.length("_line") >= least) & F.col("_line").rlike(WORD)).withColumn("_d", F.unhex(F.md5(F.col("_line").cast("binary"))))
     seen = stage(lines.select("_i", "_h", "_n", "_d"), "lines")
     # numbers are given as the table is written, so they are settled for all that reads it
     distinct = stage(lines.groupBy("_d").agg(F.any_value("_line").alias("_line")).select(F.monotonically_increasing_id().alias("_no"), "_d", "_line", F.length("_line").alias("_len")), "distinct")
