@@ -89,7 +89,7 @@ def _fusion(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """Queries are the texts and vectors of the same ids; records are documents, their authority by source."""
     docs = table(spark, sf_dir, "documents")
     ids = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
-    asked = table(spark, sf_dir, "documents").join(ids, F.col("doc_id") == F.col("query_id")).select("query_id", F.substring("text", 1, 200).alias("question"), F.lit(None).cast("string").alias("business_unit"))
+    asked = table(spark, sf_dir, "documents").join(ids, F.col("doc_id") == F.col("query_id")).select("query_id", F.col("text").alias("question"), F.lit(None).cast("string").alias("business_unit"))
     keyword = retrieval.bm25(docs, asked, "doc_id", "text", "query_id", "question").withColumn("score", F.round("score", 9))
     vector = _vectors(spark, sf_dir).withColumn("score", F.round("score", 9))
     fused = retrieval.fuse(retrieval.ranked(keyword, positive=True), retrieval.ranked(vector))
