@@ -44,6 +44,20 @@ def test_differencing_keeps_capacity(seed):
         assert fill.max() - fill.min() < 120 and m <= -(-sum(sizes) // 2048) + 2
 
 
+@pytest.mark.parametrize("low, high", [(450, 450), (450, 510), (420, 500), (280, 300)])
+def test_like_sizes_need_no_more_slots_than_by_single_steps(low, high):
+    rng = random.Random(7)
+    sizes = []
+    while sum(sizes) < 48 * 2048:
+        sizes.append(rng.randint(low, high))
+    sizes.sort(reverse=True)
+    m = -(-sum(sizes) // 2048)
+    while np.bincount(packing.differencing(sizes, m), sizes).max() > 2048:
+        m += 1
+    slots, got = packing.pack_sizes(sizes, 2048)
+    assert got <= m and np.bincount(slots, sizes).max() <= 2048
+
+
 def test_best_fit_is_best():
     rng = random.Random(2)
     sizes = sorted((rng.randrange(1, 65) for _ in range(400)), reverse=True)

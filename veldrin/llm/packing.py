@@ -4,7 +4,8 @@ Documents are cut losslessly into pieces: whole windows, each a sequence of its
 most `piece` tokens of near-equal length. Pieces are dealt by a hash over shards of about `windows` windows each, whose
 number follows from the tokens. Within a shard every piece starts as a partial partition of one filled slot among m;
 the two partials with the largest spread are merged, the fullest slot of one with the emptiest of the other, until one
-is left. If a slot exceeds the capacity, m rises and the shard is packed anew. So each task holds one shard, and what
+is left. If a slot exceeds the capacity, m rises and the shard is packed anew; if it rose by several, m goes back by
+bisection to the least number that holds. So each task holds one shard, and what
 is padded is about half a window in a shard.
 
 Null text is the empty text, whose only id is the end mark. Repeated rows are packed as often as they come. An empty
@@ -81,13 +82,23 @@ def differencing(sizes: list[int], m: int) -> list[int]:
 
 def pack_sizes(sizes: list[int], capacity: int) -> tuple[list[int], int]:
     """Slots of the sizes, none filled above the capacity, and their number."""
-    m = max(1, -(-sum(sizes) // capacity))
-    while True:
+    def tried(m: int) -> tuple[list[int], int]:
         slots = differencing(sizes, m)
-        over = int(np.bincount(slots, sizes).max()) - capacity if sizes else 0
-        if over <= 0:
-            return slots, m
-        m += max(1, over * m // capacity)  # what is over, dealt out, lowers the mean fill by a window's share each
+        return slots, int(np.bincount(slots, sizes).max()) - capacity if sizes else 0
+
+    low, m = 0, max(1, -(-sum(sizes) // capacity))
+    slots, over = tried(m)
+    while over > 0:
+        low, m = m, m + max(1, over * m // capacity)  # what is over, dealt out, lowers the mean fill by a window's share each
+        slots, over = tried(m)
+    while low and m - low > 1:  # the jump may go too far: back to the least number that holds
+        mid = (low + m) // 2
+        found, over = tried(mid)
+        if over > 0:
+            low = mid
+        else:
+            slots, m = found, mid
+    return slots, m
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, piece: int) -> Iterator[pa.RecordBatch]:
