@@ -1,5 +1,6 @@
 """Token ids, Karmarkar-Karp and best-fit-decreasing packing: exact round trips."""
 
+import pathlib
 import random
 import zlib
 
@@ -120,6 +121,27 @@ def test_matrices_round_trip(spark, tmp_path):
         assert (tmp_path / "out" / f"{p.part}.cu_seqlens").stat().st_size == 4 * p.cu_length
 
 
+def test_op3_gives_what_its_files_hold(spark, tmp_path):
+    from veldrin.llm import common, queries
+
+    docs = [(i if i else None, t) for i, t in enumerate(texts(30))]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    root = pathlib.Path(common.shared_dir(spark).removeprefix("file:")).resolve()
+    before = set(root.rglob("*.ids"))
+    got = queries.op3_token_output(spark, str(tmp_path)).collect()
+    files = sorted(set(root.rglob("*.ids")) - before)
+    assert files and len(got) > 5
+    for end, column in (("ids", "ids_crc32"), ("positions", "positions_crc32")):
+        rows = [raw[k : k + 4096] for f in files for raw in [f.with_suffix("." + end).read_bytes()] for k in range(0, len(raw), 4096)]
+        assert sorted(map(zlib.crc32, rows)) == sorted(r[column] for r in got)
+    raw = b"".join(f.with_suffix(".cu_seqlens").read_bytes() for f in files)
+    assert sorted(np.frombuffer(raw, "<u4").tolist()) == sorted(x for r in got for x in r.cu_seqlens)
+    packed = bin_output.sequences(spark.createDataFrame(docs, "doc_id long, text string"))
+    uri = f"file://{tmp_path}/again"
+    back = bin_output.read_matrices(bin_output.write_indexed(packed, uri), uri, rows_at_once=3).collect()
+    assert sorted(map(repr, back)) == sorted(map(repr, packed.collect()))
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(empty).count() == 0 and bin_output.sequences(empty).count() == 0

@@ -12,6 +12,7 @@ the end mark; repeated rows are packed as often as they come; an empty table giv
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_utf8, text_slices
+from .common import as_utf8, stage, text_slices
 from .tokens import default_vocabulary, encode
 
 CAPACITY = 2048
@@ -143,3 +144,66 @@ def write_matrices(packed: DataFrame, uri: str, capacity: int = CAPACITY, wide:
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([rows], pa.int64()), pa.array([ends], pa.int64())], names=["part", "rows", "cu_length"])
 
     return packed.select("ids", "positions", "cu_seqlens").mapInArrow(write, "part string, rows long, cu_length long")
+
+
+INDEX = "part string, row long, cu_at long, cu_length long, sequence_id long, n_tokens int, doc_ids array<long>, starts array<long>"
+
+
+def write_indexed(packed: DataFrame, uri: str) -> DataFrame:
+    """Write the files of write_matrices; returns, for each sequence, its part, row and place in the cu_seqlens, and
+    the columns that aren't in the files. As a part counts when its index rows do, they are staged."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        first = next(batches, None)
+        while first is not None and not first.num_rows:
+            first = next(batches, None)
+        if first is None:
+            return
+        fs, at = pyarrow.fs.FileSystem.from_uri(uri)
+        fs.create_dir(at)
+        part, row, end = uuid.uuid4().hex, 0, 0
+        with fs.open_output_stream(f"{at}/{part}.ids") as ids, fs.open_output_stream(f"{at}/{part}.positions") as pos, fs.open_output_stream(f"{at}/{part}.cu_seqlens") as cu:
+            for b in itertools.chain([first], batches):
+                places = []
+                for i, p, c in zip(b.column("ids"), b.column("positions"), b.column("cu_seqlens").to_pylist(), strict=True):
+                    ids.write(i.as_buffer())
+                    pos.write(p.as_buffer())
+                    cu.write(np.array(c, "<u4").tobytes())
+                    places.append((part, row, end, len(c)))
+                    row, end = row + 1, end + len(c)
+                columns = [pa.array(v, t) for v, t in zip(zip(*places, strict=True) if places else [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+                kept = ["sequence_id", "n_tokens", "doc_ids", "starts"]
+                yield pa.RecordBatch.from_arrays([*columns, *[b.column(k) for k in kept]], names=["part", "row", "cu_at", "cu_length", *kept])
+
+    return stage(packed.mapInArrow(write, INDEX), "index")
+
+
+def read_matrices(index: DataFrame, uri: str, capacity: int = CAPACITY, wide: bool = False, rows_at_once: int = 256) -> DataFrame:
+    """The sequences (columns as in SEQUENCES) of an index by write_indexed, from the files."""
+    size = capacity * (4 if wide else 2)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = pyarrow.fs.FileSystem.from_uri(uri)
+        name, files = None, []
+        try:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, rows_at_once):
+                    b = whole.slice(lo, rows_at_once)
+                    out: list[list] = [[], [], []]
+                    for part, row, a, n in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
+                        if part != name:
+                            for f in files:
+                                f.close()
+                            name, files = part, [fs.open_input_file(f"{at}/{part}.{end}") for end in ("cu_seqlens", "ids", "positions")]
+                        for values, f, where, length in zip(out, files, (4 * a, size * row, size * row), (4 * n, size, size), strict=True):
+                            values.append(f.read_at(length, where))
+                    cu = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in out[0]], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*[b.column(k) for k in range(4, 8)], cu, pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())],
+                        names=["sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", "ids", "positions"])
+        finally:
+            for f in files:
+                f.close()
+
+    return index.mapInArrow(read, SEQUENCES)
