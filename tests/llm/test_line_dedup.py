@@ -53,7 +53,7 @@ def corpus(seed, n=60):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_line_dedup_matches_brute_force(spark, seed):
     docs = corpus(seed)
-    places = [(i, n, s.strip(" ")) for i, t, _ in docs if t is not None for n, s in enumerate(t.split("\n")) if len(s.strip(" ")) >= ld.LEAST]
+    places = [(i, n, s.strip(" ")) for i, t, _ in docs if t is not None for n, s in enumerate(t.split("\n")) if s.strip(" ")]
     texts = sorted({p[2] for p in places})
     up = {t: t for t in texts}
 
@@ -80,16 +80,13 @@ def test_line_dedup_matches_brute_force(spark, seed):
         assert r.text == want and r.n_dropped == len(drop.get(r.doc_id, ()))
 
 
-def test_keys_meet_within_errors(spark):
+def test_keys_meet_within_errors():
     rng = random.Random(8)
-    rows = []
-    for k in range(400):
-        s = "".join(rng.choice("abcd") for _ in range(rng.randrange(24, 60)))
-        rows.append((k, s, edit(rng, s, rng.randrange(0, 3), "abcd")))
-    for errors in (2, 3):
-        df = spark.createDataFrame(rows, "k long, x string, y string")
-        got = df.select("x", "y", F.arrays_overlap(ld.keys(F.col("x"), F.length("x"), errors), ld.keys(F.col("y"), F.length("y"), errors)).alias("meet")).collect()
-        assert all(r.meet for r in got if distance(r.x, r.y) <= errors)
+    for _ in range(400):
+        x = "".join(rng.choice("abcdé") for _ in range(rng.randrange(24, 60)))
+        y = edit(rng, x, rng.randrange(0, 3), "abcdé")
+        for errors in (2, 3):
+            assert distance(x, y) > errors or ld.keys(x.encode(), errors) & ld.keys(y.encode(), errors)
 
 
 def test_hot_line_nulls_and_empty(spark):
@@ -129,13 +126,57 @@ def test_short_lines_match_brute_force(spark):
     assert {303, 304} <= set(drop) and not {300, 301} & set(drop)
 
 
-def test_keys_meet_at_every_length(spark):
+def test_keys_meet_at_every_length():
     rng = random.Random(9)
-    rows = []
     for _ in range(3000):
-        s = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 24)))
-        rows.append((s, edit(rng, s, rng.randrange(0, 4), "abcd")))
-    df = spark.createDataFrame([r for r in rows if r[1]], "x string, y string")
-    for errors in (1, 2, 3):
-        got = df.select("x", "y", F.arrays_overlap(ld.keys(F.col("x"), F.length("x"), errors), ld.keys(F.col("y"), F.length("y"), errors)).alias("meet")).collect()
-        assert all(r.meet for r in got if distance(r.x, r.y) <= errors)
+        x = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 24)))
+        y = edit(rng, x, rng.randrange(0, 4), "abcd")
+        for errors in (1, 2, 3):
+            assert not y or distance(x, y) > errors or ld.keys(x.encode(), errors) & ld.keys(y.encode(), errors)
+
+
+def test_counts_of_characters_never_rule_out_a_link(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(500):
+        x = "".join(rng.choice(string.ascii_lowercase + "é漢") for _ in range(rng.randrange(1, 40)))
+        rows.append((x, edit(rng, x, rng.randrange(0, 6), "abcdé")))
+    flat = spark.createDataFrame([(s.encode(), k, c) for k, r in enumerate(rows) for c, s in zip("xy", r)], "_line binary, k int, side string").select(F.lit(b"").alias("_d"), F.array(F.col("k").cast("long")).alias("keys"), "_line", F.col("side"))
+    got = []
+    for side in "xy":
+        done = flat.where(F.col("side") == side).drop("side").mapInArrow(ld._sketch, "_d binary, keys array<long>, _line binary, _len int, counts array<int>")
+        got.append(done.select(F.get("keys", F.lit(0)).alias(side), F.col("_len").alias(f"{side}len"), *[F.get("counts", F.lit(i)).alias(f"{side}c{i}") for i in range(ld.CLASSES)]))
+    both = got[0].join(got[1], F.col("x") == F.col("y")).select("x", ld._possible(lambda c: F.col("x" + c), lambda c: F.col("y" + c), 2).alias("ok")).collect()
+    assert len(both) == 500 and all(r.ok for r in both if distance(*rows[r.x]) <= 2) and sum(not r.ok for r in both) > 50
+
+
+def test_white_space_clashing_names_and_ties(spark):
+    line = "the same line stands between all kinds of white space"
+    docs = [(1, line, "a", 1, 1), (2, f"\t{line}\t\r\n{line}\x0b", "b", 2, 2), (3, f"{line}\u00a0\u00a0\u00a0", "c", 3, 3), (4, "x" * 100_000 + "\ny", None, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _drop string, _i int, `row.key` int")
+    df = df.withColumns({c: F.lit(7) for c in ("_h", "_di", "_dh", "_n", "_d", "_line", "row", "key", "keys", "_text", "_lines", "_k", "N_Lines")})
+    got = {r.doc_id: r for r in ld.dedup_lines(df).collect()}
+    assert ld.dedup_lines(df).columns == [*df.columns[:-1], "n_lines", "n_dropped"]
+    assert got[1].text == line and got[2].text == "" and got[2].n_dropped == 2 and got[2]["row.key"] == 2 and got[2]._drop == "b"
+    assert got[3].text == docs[2][1] and got[4].text == docs[3][1] and got[4].n_lines == 2
+
+
+def test_large_family_of_far_variants(spark):
+    """Many lines share segments, few are within two edits: all links are found, and only those."""
+    rng = random.Random(6)
+    base = " ".join("".join(rng.choice("etaoinshr") for _ in range(5)) for _ in range(40))
+    lines = []
+    for _ in range(300):
+        at = rng.randrange(len(base))
+        lines.append(base[:at] + "".join(rng.choice(string.ascii_lowercase) for _ in range(4)) + base[at:])
+    lines += [edit(rng, s, 2) for s in lines[:20]]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in ld.dedup_lines(df).where("n_dropped = 1").collect()}
+    pairs = [(i, j) for i, x in enumerate(lines) for j in range(i) if abs(len(x) - len(lines[j])) <= 2]
+    near = ld.within(*([t[k] for t in (ld._trim(lines[i], lines[j]) for i, j in pairs)] for k in (0, 1)), 2)
+    up = list(range(len(lines)))
+    for (i, j), ok in zip(pairs, near, strict=True):
+        if ok and up[i] != up[j]:
+            a, b = up[i], up[j]
+            up = [min(a, b) if u in (a, b) else u for u in up]
+    assert got == {i for i in range(len(lines)) if up[i] != i} and len(got) >= 20

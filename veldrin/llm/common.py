@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -18,9 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all runs on one
+    machine, one of our own. A cluster without the setting is an error, as no folder of the driver's is the executors'."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="veldrin-")
         spark.conf.set("spark.checkpoint.dir", at)
     where = spark._jvm.org.apache.hadoop.fs.Path(at)
@@ -49,17 +50,6 @@ def discard(df: DataFrame | None) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that are done, instead of when the driver runs low on memory.
-
-    Twice, as the first collection frees what Python held, and only the next one the plans behind it.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Cut Arrow batches so that the texts of a slice hold about `most` bytes, a longer one alone; texts are never cut."""
     for batch in batches:
@@ -80,6 +70,20 @@ def cleared(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
+def quoted(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """All of df's columns as one, `row`, beside others: names of these can't clash with df's."""
+    return df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"), *more)
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in names]
+
+
 def _signature(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     return row[0], row[1] or 0
@@ -114,7 +118,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
             break
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out._veldrin_path = e._veldrin_path  # discard(out) removes what it reads
+    return out
 
 
 def as_utf8(text: Column | str) -> Column:

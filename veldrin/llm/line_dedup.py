@@ -1,74 +1,133 @@
 """Line dedup by a segment-partition edit join: of lines within `errors` edits of each other, the first stays.
 
-Lines (between line feeds, without outer spaces) that aren't blank take part, however short. Equal lines are one node,
-under a 128-bit digest. Of two lines within `errors` edits, cut the shorter into errors + 1 segments: one of them
-occurs in the other unchanged, at a place that differs by no more than the length difference and the segment's number
-allow. So every distinct line is indexed under its segments, and probes, for each length down to its own less `errors`,
+Lines (between line feeds, without white space around them) that aren't blank take part, however short. Equal lines are
+one node, under a 128-bit digest. Of two lines within `errors` edits, cut the shorter into errors + 1 segments: one of
+them occurs in the other unchanged, at a place that differs by no more than the length difference and the segment's
+number allow. So every line is indexed under its segments, and probes, for each length down to its own less `errors`,
 the substrings at those places: (length, segment number, substring) is the bucket key. If the shorter line is so short
 that segments are none or of a character or two, the key is what up to `errors` deletions leave of a line: two lines
-within `errors` edits have one such rest in common. Buckets are linked as in linking.py; pairs are verified by a banded
+within `errors` edits have one such rest in common. Keys and digests are made in Arrow batches and written once; only
+lines that share a key with another line have their texts fetched. Buckets are linked as in linking.py: counts of a
+line's characters bound the distance from below while pairs are joined, and what is left is verified by a banded
 bit-parallel edit distance over batches of pairs. Of each component the line that comes first, by id and place, stays;
 all others go from the texts, with their line feeds. So lines of at most `errors` characters are all one component.
 
 Defined results: null and empty texts stay as they are; a text of which every line that isn't blank goes becomes empty,
-and `n_dropped` counts lines. Ids should be unique: rows that repeat id and text count as one place and get one result.
-Null ids come last. Empty tables give empty results. Other columns pass through, save those named like added ones.
+and `n_dropped` counts lines. White space is what separates words: space and \\x09-\\x0D. Ids should be unique: rows
+that repeat id and text count as one place and get one result. Null ids come last. Empty tables give empty results.
+Other columns pass through whatever their names, save n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cleared, discard, release, stage
-from .linking import link, shared_buckets
+from .common import cleared, discard, packed, quoted, stage, text_slices, unpacked
+from .linking import link
 
 ERRORS = 2
-LEAST = 1
+#: Classes of characters that are counted to bound distances.
+CLASSES = 32
 
 
-def keys(line: Column, length: Column, errors: int) -> Column:
-    """array<bigint>: the line's index keys and its probe keys. length should be a column that is there: it is used often.
+@lru_cache(1 << 13)
+def places(length: int, errors: int) -> tuple[tuple[int, int, int], ...]:
+    """(seed, start, end) of the index and probe substrings of a line. The seed tells segment number and indexed length.
 
-    A line of n characters has errors + 1 segments of n // (errors + 1), the last ones longer by one. The places to
-    probe (length difference d, segment i, shift s) are few and fixed, and one expression goes over them. Pairs whose
+    A line of n characters has errors + 1 segments of n // (errors + 1), the last ones longer by one. Pairs whose
     shorter line has under 3 characters a segment meet under `rests` instead.
     """
-    k, places = errors + 1, []
-    brief = 3 * k
+    k, out = errors + 1, []
     for d in range(errors + 1):
+        shorter = length - d
+        if shorter < 3 * k:
+            break
+        base, short_ones = shorter // k, k - shorter % k
         for i in range(k):
-            lo, hi = max(-i, d - (k - 1 - i)), min(i, d + (k - 1 - i))
-            places += [F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for s in range(lo, hi + 1)]
+            start, size = i * base + max(0, i - short_ones), base + (i >= short_ones)
+            for s in range(max(-i, d - (k - 1 - i)), min(i, d + (k - 1 - i)) + 1):
+                if 0 <= start + s and start + s + size <= length:
+                    out.append((shorter * k + i + 1, start + s, start + s + size))
+    return tuple(out)
 
-    def key(p: Column) -> Column:
-        shorter = length - p["d"]
-        base, short_ones = F.floor(shorter / k).cast("int"), k - shorter % k
-        start = 1 + p["s"] + p["i"] * base + F.greatest(F.lit(0), p["i"] - short_ones)
-        size = base + (p["i"] >= short_ones).cast("int")
-        fits = (start >= 1) & (start + size - 1 <= length) & (shorter >= brief)
-        return F.when(fits, F.xxhash64(p["i"], shorter, F.substring(line, start, size)))
-
-    longer = F.when(length >= brief, F.array_compact(F.transform(F.array(*places), key))).otherwise(F.array().cast("array<bigint>"))
-    shorter = F.transform(rests(line, errors), lambda r: F.xxhash64(F.lit(-1), r))
-    return F.array_distinct(F.when(length < brief + errors, F.concat(longer, shorter)).otherwise(longer))
 
+def rests(line: str, errors: int) -> set[str]:
+    """What is left of a line after up to `errors` deletions, itself included."""
+    out = {line}
+    for _ in range(errors):
+        out |= {s[:i] + s[i + 1 :] for s in out for i in range(len(s))}
+    return out
 
-def rests(line: Column, errors: int) -> Column:
-    """array<string>: what is left of a line after up to `errors` deletions, itself included."""
-    def shortened(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
 
-    out = F.array(line)
-    for _ in range(errors):
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, shortened))))
+def keys(line: bytes, errors: int) -> set[int]:
+    """The line's index keys and its probe keys, by hashes of 64 bits."""
+    if line.isascii():
+        n = len(line)
+        out = {xxhash.xxh64_intdigest(line[a:b], seed) for seed, a, b in places(n, errors)}
+        short = line.decode() if n < 3 * (errors + 1) + errors else None
+    else:
+        text = line.decode("utf-8", "surrogateescape")
+        n = len(text)
+        out = {xxhash.xxh64_intdigest(text[a:b].encode("utf-8", "surrogateescape"), seed) for seed, a, b in places(n, errors)}
+        short = text if n < 3 * (errors + 1) + errors else None
+    if short is not None:
+        out |= {xxhash.xxh64_intdigest(r.encode("utf-8", "surrogateescape")) for r in rests(short, errors)}
     return out
 
 
+def _lines(text: bytes) -> Iterator[tuple[int, bytes]]:
+    for n, line in enumerate(text.split(b"\n")):
+        line = line.strip()  # of bytes: space and \x09-\x0D
+        if line:
+            yield n, line
+
+
+def _index(batches: Iterator[pa.RecordBatch], errors: int) -> Iterator[pa.RecordBatch]:
+    """(_i, _h, _n, _d, keys) of (_i, _h, text): a row for each line that isn't blank."""
+    for batch, texts in text_slices(batches, 2):
+        rows, numbers, digests, sizes, flat = [], [], [], [], []
+        for row, text in enumerate(texts):
+            for n, line in _lines(text):
+                found = keys(line, errors)
+                rows.append(row)
+                numbers.append(n)
+                digests.append(xxhash.xxh3_128_digest(line))
+                sizes.append(len(found))
+                flat.extend(found)
+        at = pa.array(rows, pa.int64())
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        every = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(flat, np.uint64).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), every], names=["_i", "_h", "_n", "_d", "keys"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_d, _line) of (text): a text's distinct lines that aren't blank."""
+    for _, texts in text_slices(batches, 0):
+        found = {xxhash.xxh3_128_digest(line): line for text in texts for _, line in _lines(text)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["_d", "_line"])
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_d, keys, _line, _len, counts) of (_d, keys, _line): the line's length and its characters counted by class."""
+    for batch in batches:
+        points = [np.frombuffer(x.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), "<u4") for x in batch.column(2).to_pylist()]
+        counts = [np.bincount(p % CLASSES, minlength=CLASSES).astype(np.int32) for p in points]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(p) for p in points], pa.int32()), pa.array(counts, pa.list_(pa.int32()))], names=["_d", "keys", "_line", "_len", "counts"])
+
+
+def _possible(x, y, errors: int) -> Column:
+    """An edit changes the length by one at most, and the counts of two characters by one each at most."""
+    apart = sum((F.abs(x(f"c{i}") - y(f"c{i}")) for i in range(1, CLASSES)), F.abs(x("c0") - y("c0")))
+    return (F.abs(x("len") - y("len")) <= errors) & (apart <= 2 * errors)
+
+
 def within(a: list[str], b: list[str], errors: int) -> np.ndarray:
     """Whether each pair's edit distance is at most `errors`: bit-parallel over a band around the diagonal.
 
@@ -86,7 +145,7 @@ def within(a: list[str], b: list[str], errors: int) -> np.ndarray:
     def codes(s: int, pad: int, shift: int) -> np.ndarray:
         out = np.full((len(pairs), width), pad, np.int32)
         for row, p in enumerate(pairs):
-            out[row, shift : shift + len(p[s])] = np.frombuffer(p[s].encode("utf-32-le"), "<i4")
+            out[row, shift : shift + len(p[s])] = np.frombuffer(p[s].encode("utf-32-le", "surrogatepass"), "<i4")
         return out
 
     down, across = codes(0, -1, bits - 1 - errors), codes(1, -2, 0)
@@ -121,7 +180,7 @@ def within(a: list[str], b: list[str], errors: int) -> np.ndarray:
 def _verify(batches: Iterator[pa.RecordBatch], errors: int) -> Iterator[pa.RecordBatch]:
     """(a, b) of (a, b, x, y) whose lines x and y are close; pairs of like length advance together."""
     for batch in batches:
-        x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        x, y = ([s.decode("utf-8", "surrogateescape") for s in batch.column(k).to_pylist()] for k in (2, 3))
         order = sorted(range(len(x)), key=lambda i: len(x[i]))
         ok = np.zeros(len(x), bool)
         lo = 0
@@ -154,53 +213,55 @@ def _trim(x: str, y: str) -> tuple[str, str]:
     return x[: len(x) - hi], y[: len(y) - hi]
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", errors: int = ERRORS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(_i, _h, line numbers to drop) for each document with any, and (digest, class digest) of lines in classes of several."""
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_i"), F.xxhash64(F.col(text)).alias("_h")]
-    lines = docs.select(*key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("_n", "_line")).withColumn("_line", F.trim("_line"))
-    lines = lines.where((F.length("_line") >= least) & F.col("_line").rlike(WORD)).withColumn("_d", F.unhex(F.md5(F.col("_line").cast("binary"))))
-    seen = stage(lines.select("_i", "_h", "_n", "_d"), "lines")
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", errors: int = ERRORS) -> tuple[DataFrame, DataFrame]:
+    """(_i, _h, _drop: the numbers of the lines to drop) for each document with any, and (digest, class digest) of lines
+    in classes of several."""
+    place = ["_i", "_h", "_n"]
+    body = docs.select(F.coalesce(quoted(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_i"), F.xxhash64(quoted(text)).alias("_h"), quoted(text).cast("binary").alias("_text")).where("_text is not null")
+    lines = stage(body.mapInArrow(lambda it: _index(it, errors), "_i long, _h long, _n int, _d binary, keys array<long>"), "lines")
+    # A key counts if two lines have it: then the smallest and the largest of their hashes differ.
+    by_key = lines.select(F.explode("keys").alias("key"), F.xxhash64("_d").alias("_g"))
+    hit = stage(by_key.groupBy("key").agg(F.min("_g").alias("_lo"), F.max("_g").alias("_hi")).where("_lo <> _hi").select(F.col("key").alias("_k")), "keys")
+    found = lines.select("_d", F.explode("keys").alias("key")).join(hit, F.col("key") == F.col("_k"), "left_semi").distinct()
+    wanted = stage(found.groupBy("_d").agg(F.collect_set("key").alias("keys")), "wanted")  # a set of the line's own keys
+    texts = body.select("_text").mapInArrow(_texts, "_d binary, _line binary").withColumnRenamed("_d", "_e")
+    near = wanted.join(texts, F.col("_d") == F.col("_e")).groupBy("_d").agg(F.any_value("keys").alias("keys"), F.any_value("_line").alias("_line"))
     # numbers are given as the table is written, so they are settled for all that reads it
-    distinct = stage(lines.groupBy("_d").agg(F.any_value("_line").alias("_line")).select(F.monotonically_increasing_id().alias("_no"), "_d", "_line", F.length("_line").alias("_len")), "distinct")
-    release(docs.sparkSession)
-    indexed = distinct.select(F.explode(keys(F.col("_line"), F.col("_len"), errors)).alias("key"), F.col("_no").alias("id"))
-    members = stage(shared_buckets(indexed), "buckets")
-    release(docs.sparkSession)
-    near = stage(distinct.join(members.select("id").distinct(), F.col("_no") == F.col("id"), "left_semi"), "near")
-    discard(distinct)
-    release(docs.sparkSession)
+    near = stage(near.mapInArrow(_sketch, "_d binary, keys array<long>, _line binary, _len int, counts array<int>").withColumn("_no", F.monotonically_increasing_id()), "near")
+    members = stage(near.select(F.explode("keys").alias("key"), F.col("_no").alias("id")), "buckets")
+    sketches = near.select(F.col("_no").alias("id"), "keys", F.col("_len").alias("len"), *[F.get("counts", F.lit(i)).alias(f"c{i}") for i in range(CLASSES)])
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        x = near.select(F.col("_no").alias("_x"), F.col("_line").alias("x"), F.col("_len").alias("nx"))
-        y = near.select(F.col("_no").alias("_y"), F.col("_line").alias("y"), F.col("_len").alias("ny"))
-        both = pairs.join(y, F.col("b") == F.col("_y")).join(x, F.col("a") == F.col("_x")).where(F.abs(F.col("nx") - F.col("ny")) <= errors)
+        x, y = (near.select(F.col("_no").alias(f"_{c}"), F.col("_line").alias(c)) for c in "xy")
+        both = pairs.join(y, F.col("b") == F.col("_y")).join(x, F.col("a") == F.col("_x"))
         return both.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, errors), "a long, b long")
 
-    found = link(members, confirm)
-    if found is None:
+    comps = link(members, confirm, sketches, lambda x, y: _possible(x, y, errors))
+    if comps is None:
         classes = docs.sparkSession.createDataFrame([], "digest binary, class binary")
-        named = seen.select("_i", "_h", "_n", F.col("_d").alias("_c"))
+        named = lines.select(*place, F.col("_d").alias("_c"))
     else:
         digests = near.select("_no", "_d")
-        classes = found.join(digests, F.col("id") == F.col("_no")).select(F.col("_d").alias("digest"), "component").join(digests, F.col("component") == F.col("_no")).select("digest", F.col("_d").alias("class"))
+        classes = comps.join(digests, F.col("id") == F.col("_no")).select(F.col("_d").alias("digest"), "component").join(digests, F.col("component") == F.col("_no")).select("digest", F.col("_d").alias("class"))
         classes = stage(classes, "classes")
-        named = seen.join(classes, F.col("_d") == F.col("digest"), "left").select("_i", "_h", "_n", F.coalesce("class", "_d").alias("_c"))
-    for t in (members, near):
+        discard(comps)
+        named = lines.join(classes, F.col("_d") == F.col("digest"), "left").select(*place, F.coalesce("class", "_d").alias("_c"))
+    firsts = named.groupBy("_c").agg(F.min(F.struct(*place)).alias("_f"), F.max(F.struct(*place)).alias("_l")).where("_f <> _l")
+    firsts = stage(firsts.select(F.col("_c").alias("_k"), "_f"), "firsts")
+    drops = named.join(firsts, F.col("_c") == F.col("_k")).where(F.struct(*place) != F.col("_f"))
+    drops = stage(drops.groupBy(F.col("_i").alias("_di"), F.col("_h").alias("_dh")).agg(F.collect_set("_n").alias("_drop")), "drops")
+    for t in (lines, hit, wanted, members, near, firsts):
         discard(t)
-    release(docs.sparkSession)
-    firsts = named.groupBy("_c").agg(F.min(F.struct("_i", "_h", "_n")).alias("_f"), F.max(F.struct("_i", "_h", "_n")).alias("_l")).where("_f <> _l").select(F.col("_c").alias("_k"), "_f")
-    drops = named.join(firsts, F.col("_c") == F.col("_k")).where(F.struct("_i", "_h", "_n") != F.col("_f"))
-    return drops.groupBy(F.col("_i").alias("_di"), F.col("_h").alias("_dh")).agg(F.collect_set("_n").alias("_drop")), classes
+    return drops, classes
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", errors: int = ERRORS, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", errors: int = ERRORS) -> DataFrame:
     """docs with their texts without dropped lines, and n_lines and n_dropped."""
     docs = cleared(docs, ["n_lines", "n_dropped"])
-    names = docs.columns
-    drops, _ = duplicate_lines(docs, id_col, text, errors, least)
-    rows = docs.withColumns({"_ld_i": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_ld_h": F.xxhash64(F.col(text))})
-    rows = rows.join(drops, (F.col("_ld_i") == F.col("_di")) & (F.col("_ld_h") == F.col("_dh")), "left").withColumn("_ld_lines", F.split(F.col(text), "\n", -1))
-    left = F.filter("_ld_lines", lambda line, n: ~F.array_contains("_drop", n))
-    rows = rows.withColumn("_ld_text", F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
-    out = [F.col("_ld_text").alias(c) if c == text else F.col(c) for c in names]
-    return rows.select(*out, F.coalesce(F.size("_ld_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    drops, _ = duplicate_lines(docs, id_col, text, errors)
+    rows = packed(docs, F.coalesce(quoted(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_i"), F.xxhash64(quoted(text)).alias("_h"), quoted(text).alias("_text"))
+    rows = rows.join(drops, (F.col("_i") == F.col("_di")) & (F.col("_h") == F.col("_dh")), "left").withColumn("_lines", F.split("_text", "\n", -1))
+    left = F.filter("_lines", lambda line, n: ~F.array_contains("_drop", n))
+    rest = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
+    out = [rest.alias(c) if c == text else v for c, v in zip(docs.columns, unpacked(docs.columns), strict=True)]
+    return rows.select(*out, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))

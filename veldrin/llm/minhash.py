@@ -4,7 +4,8 @@ A document's set holds its distinct shingles of `words` words (a shorter documen
 shingle). Each of PERMUTATIONS hash functions is evaluated once per shingle and gives two signature values, the minimum
 and the maximum, each of which agrees for two sets with probability equal to their Jaccard similarity. Bands of
 three functions (six values) are bucket keys: at similarity 0.8 a pair shares none of the BANDS keys with probability
-(1 - 0.8**6)**BANDS, below 1e-6. Documents with equal sets are one class; the classes' smallest ids are linked as in
+(1 - 0.8**6)**BANDS, below 1e-6, if its sets are large; a
+minimum and a maximum over few shingles aren't independent, and of 4 shared among 5 it is about 3e-6. Documents with equal sets are one class; the classes' smallest ids are linked as in
 linking.py, and every link is confirmed exactly: 100 * intersection >= 80 * union of the full sets.
 
 Defined results: a document without text or words has an empty set and is linked with nothing. Words are runs of
@@ -119,21 +120,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
     classes = stage(signed.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     reps = signed.join(classes.select("rep"), F.col("id") == F.col("rep"), "left_semi").where("digest is not null").dropDuplicates(["id"])
     members = stage(shared_buckets(reps.select(F.explode("keys").alias("key"), "id")), "buckets")
-    wanted = members.select("id").distinct().withColumnRenamed("id", "_w")
+    wanted = members.groupBy(F.col("id").alias("_w")).agg(F.collect_set("key").alias("keys"))  # BANDS keys at most
     sets = stage(
-        texts.join(wanted, F.col("id") == F.col("_w"), "left_semi").dropDuplicates(["id"])
-        .mapInArrow(lambda it: _sets(it, words), "id long, n long, items array<long>, bits array<long>"), "sets")
+        texts.join(wanted, F.col("id") == F.col("_w")).dropDuplicates(["id"]).select("id", "text", "keys")
+        .mapInArrow(lambda it: _sets(it, words), "id long, keys array<long>, n long, items array<long>, bits array<long>"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("_i"), F.col("n").alias("na"), F.col("items").alias("sa"))
         right = sets.select(F.col("id").alias("_j"), F.col("n").alias("nb"), F.col("items").alias("sb"))
         both = pairs.join(right, F.col("b") == F.col("_j")).join(left, F.col("a") == F.col("_i"))
-        both = both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).withColumn("k", F.size(F.array_intersect("sa", "sb")))
+        both = both.withColumn("k", F.size(F.array_intersect("sa", "sb")))
         return both.where(100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
 
     words_of = [F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(PLACES // 64)]
-    sketches = sets.select("id", "n", F.aggregate("bits", F.lit(0), lambda s, w: s + F.bit_count(w)).alias("places"), *words_of)
-    found = link(members, confirm, sketches=sketches, possible=lambda x, y: _possible(x, y, percent))
+    sketches = sets.select("id", "keys", "n", F.aggregate("bits", F.lit(0), lambda s, w: s + F.bit_count(w)).alias("places"), *words_of)
+    found = link(members, confirm, sketches, lambda x, y: _possible(x, y, percent))
     if found is None:
         comps = classes.select(F.col("digest").alias("_d"), F.col("rep").alias("comp"))
     else:
@@ -150,8 +151,8 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
     for batch, texts in text_slices(batches, 1):
         sets = [shingle_set(t, words) for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([occupied(s) for s in sets], pa.list_(pa.int64()))],
-            names=["id", "n", "items", "bits"])
+            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([occupied(s) for s in sets], pa.list_(pa.int64()))],
+            names=["id", "keys", "n", "items", "bits"])
 
 
 def occupied(s: np.ndarray) -> np.ndarray:
@@ -166,4 +167,5 @@ def _possible(x: Callable[[str], Column], y: Callable[[str], Column], percent: i
     which bounds their intersection from above. No link is ruled out."""
     either = reduce(add, [F.bit_count(x(f"w{i}").bitwiseOR(y(f"w{i}"))) for i in range(PLACES // 64)])
     k = F.least(x("n") - (either - y("places")), y("n") - (either - x("places")))
-    return 100 * k >= percent * (x("n") + y("n") - k)
+    sizes = 100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))
+    return sizes & (100 * k >= percent * (x("n") + y("n") - k))
