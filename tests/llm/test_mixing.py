@@ -79,5 +79,43 @@ def test_stream_is_sorted_and_faithful_to_time(spark):
     assert early.count("a") > late.count("a") and early.count("c") < late.count("c")
 
 
+def test_clashing_names_nulls_and_repeats(spark):
+    docs = [(1, "a b", "s"), (1, "a b", "s"), (None, "c", None), (3, None, "s"), (4, "d " * 50_000, "t")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    clashes = ["place", "_k", "_b", "h", "id", "key", "bucket", "n", "start", "at", "row", "_mix_b", "_key", "Target", "position"]
+    wide = df.selectExpr("*", *[f"'v' as {c}" for c in clashes])
+    got = mixing.plan_mix(wide)
+    assert got.columns == [*(c for c in wide.columns if c != "Target"), *mixing.ADDED] and got.count() == 5
+    rows = sorted(got.collect(), key=lambda r: str(r))
+    plain = sorted(mixing.plan_mix(df).collect(), key=lambda r: str(r))
+    assert sorted((str(r.doc_id), r.taken, str(r.positions)) for r in rows) == sorted((str(r.doc_id), r.taken, str(r.positions)) for r in plain)
+    assert all(r.place == "v" for r in rows) and set(mixing.mix(wide).columns) == set(wide.columns) - {"Target"}
+
+
+def test_schedules_decide_the_order(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    flat = tuple(((0.0, 1.0), (1.0, 1.0)) for _ in range(3))
+    a, b = mixing.curriculum(docs), mixing.curriculum(docs, schedules=flat)
+    x, y = ({r.doc_id: (r.taken, r.first_position) for r in d.collect()} for d in (a, b))
+    assert all(x[i][0] == y[i][0] for i in x) and sum(x[i][1] != y[i][1] for i in x) > 100
+    got = [r.first_position for part in a.rdd.glom().collect() for r in part]
+    known = [p for p in got if p is not None]
+    assert known == sorted(known) and all(p is None for p in got[len(known):])
+
+
+def test_query_matches_its_sql(spark):
+    import duckdb
+
+    from veldrin.llm import queries
+
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{at}/documents.parquet'")
+    want = con.execute(queries.OP9_SQL).fetchall()
+    got = queries.op9_mixing(spark, at)
+    assert got.columns == [d[0] for d in con.description]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0

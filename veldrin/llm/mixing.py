@@ -7,9 +7,9 @@ the order of a hash of the id, gone through again for a second pass. A document
 at the time at which the integral of the source's schedule reaches c / target, and documents are range-sorted by it.
 
 Defined results: null text has size 0; the null source is one source, the last; sources with no words have target 0;
-an empty table gives no rows. A document is taken in a pass if its middle lies within the target, so a source's words
-miss its target by half a document at most. Rows that repeat are documents of their own. Extra columns pass through,
-but those that bear the names of added columns are replaced.
+an empty table gives no rows; null ids are hashed as the empty text. A document is taken in a pass if its middle lies within the target, so a source's words
+miss its target by half a document at most. Rows that repeat are documents of their own. Extra columns pass through
+whatever their names, but those that bear the names of added columns are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cleared, stage
+from .common import WORD, cleared, packed, quoted, stage, unpacked
 
 ADDED = ["size", "source_size", "target", "taken", "positions"]
 WEIGHTS = (3, 1, 2)
@@ -68,39 +68,51 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     Sums are taken per source and bucket of the hash first, so the running sum of a source, however large, is a short
     one over its buckets and then one within each bucket; no task gathers a source.
     """
-    keep = [c for c in cleared(docs, [*ADDED, *(c for c in docs.columns if c.startswith("_mix_"))]).columns]
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    rows = docs.select(
-        *keep, (F.col(size) if size else word_count(text)).alias("_mix_size"), hashed.alias("_mix_h"), F.col(id_col).alias("_mix_id"),
-        F.concat(F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("_mix_key"),
-    ).withColumn("_mix_b", F.shiftright("_mix_h", 60 - (BUCKETS.bit_length() - 1)))
-    sums = stage(rows.groupBy("_mix_key", "_mix_b").agg(F.sum("_mix_size").alias("n")), "mix")
-    goal = targets(sums.groupBy(F.col("_mix_key").alias("_key")).agg(F.sum("n").alias("source_size")), total_share, passes, weights)
-    before = Window.partitionBy("_mix_key").orderBy("_mix_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_mix_start", F.coalesce(F.sum("n").over(before), F.lit(0))).join(goal, F.col("_mix_key") == F.col("_key")).select(
-        F.col("_mix_key").alias("_k"), F.col("_mix_b").alias("_b"), "_mix_start", "source_size", "target", "place")
-    inside = Window.partitionBy("_mix_key", "_mix_b").orderBy("_mix_h", "_mix_id", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(starts, (F.col("_mix_key") == F.col("_k")) & (F.col("_mix_b") == F.col("_b"))).withColumn(
-        "_mix_c", F.col("_mix_start") + F.coalesce(F.sum("_mix_size").over(inside), F.lit(0)))
+    docs = cleared(docs, ADDED if size is None else [c for c in ADDED if c != size.lower()])
+    hashed = F.conv(F.substring(F.md5(F.coalesce(quoted(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    rows = packed(
+        docs, (quoted(size).cast("long") if size else word_count(text)).alias("size"), hashed.alias("h"), quoted(id_col).alias("id"),
+        F.concat(F.when(quoted(source).isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce(quoted(source).cast("string"), F.lit(""))).alias("key"),
+    ).withColumn("bucket", F.shiftright("h", 60 - (BUCKETS.bit_length() - 1)))
+    sums = stage(rows.groupBy("key", "bucket").agg(F.sum("size").alias("n")), "mix")
+    goal = targets(sums.groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("source_size")), total_share, passes, weights)
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).join(goal, F.col("key") == F.col("_key")).select(
+        F.col("key").alias("_k"), F.col("bucket").alias("_b"), "start", "source_size", "target", "place")
+    inside = Window.partitionBy("key", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(starts, (F.col("key") == F.col("_k")) & (F.col("bucket") == F.col("_b"))).withColumn(
+        "at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
     def at(j: int) -> Column:
-        c = F.col("_mix_c") + j * F.col("source_size")
+        c = F.col("at") + j * F.col("source_size")
         share = F.when(F.col("target") > 0, F.least(F.lit(1.0), c / F.col("target"))).otherwise(F.lit(0.0))
         when = None
         for i, s in enumerate(schedules):
             t = time_of(share, s)
             when = F.when(F.col("place") % len(schedules) == i, t) if when is None else when.when(F.col("place") % len(schedules) == i, t)
-        return F.when(2 * c + F.col("_mix_size") <= 2 * F.col("target"), when)
+        return F.when(2 * c + F.col("size") <= 2 * F.col("target"), when)
 
     rows = rows.withColumn("positions", F.array_compact(F.array(*[at(j) for j in range(passes)])))
-    return rows.select(*keep, F.col("_mix_size").alias("size"), "source_size", "target", (F.col("_mix_size") * F.size("positions")).cast("long").alias("taken"), "positions")
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    return rows.select(*unpacked(keep), "size", "source_size", "target", (F.col("size") * F.size("positions")).cast("long").alias("taken"), "positions")
+
+
+def by_position(rows: DataFrame, position: str, id_col: str, partitions: int | None = None) -> DataFrame:
+    """rows range-sorted by a position, those without one at the end."""
+    by = [F.col(position).asc_nulls_last(), quoted(id_col).asc()]
+    rows = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+    return rows.sortWithinPartitions(*by)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", partitions: int | None = None, **options) -> DataFrame:
     """The training stream: a row for each time that a document is taken, with its position, range-sorted by it."""
-    rows = plan_mix(docs, id_col, **options)
-    keep = [c for c in rows.columns if c not in ADDED and c != "position"]
-    rows = rows.select(*keep, F.explode("positions").alias("position"))
-    by = [F.col("position"), F.col(id_col)]
-    rows = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
-    return rows.sortWithinPartitions("position", id_col)
+    rows = plan_mix(cleared(docs, ["position"]), id_col, **options)
+    keep = [c for c in rows.columns if c not in ADDED]
+    return by_position(rows.select(*[quoted(c) for c in keep], F.explode("positions").alias("position")), "position", id_col, partitions)
+
+
+def curriculum(docs: DataFrame, id_col: str = "doc_id", partitions: int | None = None, **options) -> DataFrame:
+    """plan_mix with first_position and last_position, range-sorted by the first; documents that aren't taken come last."""
+    rows = plan_mix(cleared(docs, ["first_position", "last_position"]), id_col, **options)
+    rows = rows.withColumns({"first_position": F.array_min("positions"), "last_position": F.array_max("positions")})
+    return by_position(rows, "first_position", id_col, partitions)

@@ -68,9 +68,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document in training order, with the times at which its first and last copy are trained on."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("n_words"))
-    plan = mixing.plan_mix(docs, size="n_words")
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.curriculum(docs, size="n_words").select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
 
 
 OP9_SQL = r"""
@@ -89,14 +89,35 @@ levels AS (
          / sum(w) OVER (ORDER BY most / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
   FROM weighed),
 goal AS (
-  SELECT source, source_size, least(most, coalesce((SELECT max(lvl) FROM levels WHERE lvl <= lim) * w, most)) AS target FROM levels),
+  SELECT source, source_size, place, least(most, coalesce((SELECT max(lvl) FROM levels WHERE lvl <= lim) * w, most)) AS target FROM levels),
 placed AS (
-  SELECT s.doc_id, s.size, g.source_size, g.target,
+  SELECT s.doc_id, s.size, g.source_size, g.target, g.place,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
-  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       (size * ((2 * c + size <= 2 * target)::INT + (2 * (c + source_size) + size <= 2 * target)::INT))::BIGINT AS taken
-FROM placed
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
+shares AS (
+  SELECT *, 2 * c + size <= 2 * target AS in_first, 2 * (c + source_size) + size <= 2 * target AS in_second,
+         CASE WHEN target > 0 THEN least(1.0::DOUBLE, c::DOUBLE / target) ELSE 0.0::DOUBLE END AS s0,
+         CASE WHEN target > 0 THEN least(1.0::DOUBLE, (c + source_size)::DOUBLE / target) ELSE 0.0::DOUBLE END AS s1
+  FROM placed),
+-- where the integral of each source's schedule reaches the share: 1.5 falling to 0.5; steady; 0.5 rising over 1.0 to 1.5
+timed AS (
+  SELECT *,
+         CASE place % 3
+           WHEN 0 THEN least(1.0::DOUBLE, 2 * s0 / (1.5::DOUBLE + sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE - 2 * s0))))
+           WHEN 1 THEN s0
+           ELSE CASE WHEN s0 < 0.375::DOUBLE THEN least(0.5::DOUBLE, 2 * s0 / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * s0)))
+                ELSE least(1.0::DOUBLE, 0.5::DOUBLE + 2 * (s0 - 0.375::DOUBLE) / (1.0::DOUBLE + sqrt(1.0::DOUBLE + 2 * (s0 - 0.375::DOUBLE)))) END
+         END AS t0,
+         CASE place % 3
+           WHEN 0 THEN least(1.0::DOUBLE, 2 * s1 / (1.5::DOUBLE + sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE - 2 * s1))))
+           WHEN 1 THEN s1
+           ELSE CASE WHEN s1 < 0.375::DOUBLE THEN least(0.5::DOUBLE, 2 * s1 / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * s1)))
+                ELSE least(1.0::DOUBLE, 0.5::DOUBLE + 2 * (s1 - 0.375::DOUBLE) / (1.0::DOUBLE + sqrt(1.0::DOUBLE + 2 * (s1 - 0.375::DOUBLE)))) END
+         END AS t1
+  FROM shares)
+SELECT doc_id, size, source_size, target, (size * (in_first::INT + in_second::INT))::BIGINT AS taken,
+       CASE WHEN in_first THEN t0 END AS first_position, CASE WHEN in_second THEN t1 WHEN in_first THEN t0 END AS last_position
+FROM timed
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
