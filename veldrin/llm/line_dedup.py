@@ -263,5 +263,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", err
     rows = rows.join(drops, (F.col("_i") == F.col("_di")) & (F.col("_h") == F.col("_dh")), "left").withColumn("_lines", F.split("_text", "\n", -1))
     left = F.filter("_lines", lambda line, n: ~F.array_contains("_drop", n))
     rest = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
-    out = [rest.alias(c) if c == text else v for c, v in zip(docs.columns, unpacked(docs.columns), strict=True)]
-    return rows.select(*out, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    rows = rows.select("row", rest.alias("_rest"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    out = [F.col("_rest").alias(c) if c == text else v for c, v in zip(docs.columns, unpacked(docs.columns), strict=True)]
+    return rows.select(*out, "n_lines", "n_dropped")

@@ -3,12 +3,13 @@
 Candidates are runs of 20 or more base64 or URL characters. A window of 20 characters slides over each; its character
 counts, the sum of c * log2 c over them and the numbers of digits, letters and hex digits change with the character
 that enters and the one that leaves, in fixed point, so sums are exact. A window counts if it belongs to a class and
-its entropy reaches that of the class: hex digits, or base64 with a digit, an upper and a lower case letter.
+its entropy reaches that of the class: hex digits with letters; base64 with a digit, an upper and a lower case letter;
+lower case letters and digits, or upper case letters and digits, of several each.
 Overlapping windows make one span; spans that match an allow-list pattern, or lie within a fixed-pattern one, go.
 
 Positions are in code points, ends exclusive. Null and empty texts have no spans. A long candidate is cut into blocks
 that overlap by a window, so no accumulator grows with it. Rows are independent: repeated rows give repeated results,
-an empty table none. Extra columns pass through, save one named `secrets`, which is replaced.
+an empty table none. Extra columns pass through whatever their names, save `secrets`, which is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleared
+from .common import cleared, packed, quoted, unpacked
 
 WINDOW = 20
 BLOCK = 1024
@@ -32,7 +33,9 @@ PATTERNS = {
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: Least bits a character, by class.
-FLOORS = {"hex": 3.0, "base64": 3.75}
+FLOORS = {"hex": 3.0, "base64": 3.75, "base36": 3.5, "base32": 3.5}
+#: Least digits and least letters in a window of one case.
+MIXED = 3
 #: Spans with one of these are known to be harmless: UUIDs, examples, counting and repeated characters.
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
@@ -102,7 +105,9 @@ def _windows(block: Column) -> Column:
         hexes = a["hexes"] + (new < 22).cast("int") - ((old >= 0) & (old < 22)).cast("int")
         low, up = a["lower"] + lower(new) - lower(old), a["upper"] + upper(new) - upper(old)
         i = a["i"] + 1
-        good = (i >= WINDOW) & (((hexes == WINDOW) & (digits > 0) & (digits < WINDOW) & (total <= most["hex"])) | ((digits > 0) & (low > 0) & (up > 0) & (total <= most["base64"])))
+        good = (i >= WINDOW) & (((hexes == WINDOW) & (digits > 0) & (digits < WINDOW) & (total <= most["hex"])) | ((digits > 0) & (low > 0) & (up > 0) & (total <= most["base64"]))
+                              | ((digits >= MIXED) & (low >= MIXED) & (digits + low == WINDOW) & (total <= most["base36"]))
+                              | ((digits >= MIXED) & (up >= MIXED) & (digits + up == WINDOW) & (total <= most["base32"])))
         joins = good & (a["e"] >= 0) & (i - WINDOW <= a["e"])
         return F.struct(
             i.alias("i"), F.when(new == old, a["n"]).otherwise(F.transform(a["n"], lambda c, k: c + (k == new).cast("int") - (k == old).cast("int"))).alias("n"),
@@ -131,12 +136,12 @@ def entropy_spans(candidate: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """docs with `secrets`, array<struct<start, kind, end>> by start and then kind (its place in KINDS)."""
     docs = cleared(docs, ["secrets"])
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col("_text"), F.lit(""))
     spans = []
     for k, kind in enumerate(KINDS[:3]):
         pattern, group, least = PATTERNS[kind]
         spans.append(_long_enough(find(body, pattern, group), k, least))
-    fixed = docs.withColumn("_base", F.concat(*spans)).withColumn("_cand", F.filter(find(body, CANDIDATE), lambda m: m["hit"].rlike("[0-9]")))
+    fixed = packed(docs, quoted(text).alias("_text")).withColumn("_base", F.concat(*spans)).withColumn("_cand", F.filter(find(body, CANDIDATE), lambda m: m["hit"].rlike("[0-9]")))
 
     def of(m: Column) -> Column:
         kept = F.filter(entropy_spans(m["hit"]), lambda w: ~_any(m["hit"].substr(w["s"] + 1, w["e"] - w["s"]), allow))
@@ -144,7 +149,8 @@ def scan(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW) ->
 
     more = F.flatten(F.transform("_cand", of))
     more = F.filter(more, lambda w: ~F.exists("_base", lambda b: (b["start"] <= w["start"]) & (b["end"] >= w["end"])))
-    return fixed.withColumn("secrets", F.array_sort(F.concat("_base", more))).drop("_base", "_cand")
+    done = fixed.withColumn("secrets", F.array_sort(F.concat("_base", more)))
+    return done.select(*unpacked(docs.columns), "secrets")
 
 
 def _long_enough(found: Column, kind: int, least: int) -> Column:
