@@ -145,3 +145,12 @@ def test_op3_gives_what_its_files_hold(spark, tmp_path):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(empty).count() == 0 and bin_output.sequences(empty).count() == 0
+
+
+def test_whole_windows_meet_no_group(spark, monkeypatch):
+    monkeypatch.setattr(packing, "pack_sizes", None)  # not called: there is nothing but whole windows
+    one = "a " * 400
+    n = len(ids_of(one))
+    docs = [(i, one) for i in range(30)]
+    got = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), capacity=n, piece=n).collect()
+    assert len(got) == 30 == len({r.sequence_id for r in got}) and all((r.offset, r.length, r.start) == (0, n, 0) for r in got)

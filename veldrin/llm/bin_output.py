@@ -83,6 +83,8 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, wid
     path = path or default_vocabulary()
     for batch, texts in text_slices(batches, 1):
         ids, at = encode([t.decode() for t in texts], path)
+        if not wide and len(ids) and int(ids.max()) > 0xFFFF:
+            raise ValueError("the vocabulary has ids above 65535: pass wide=True")
         raw = ids.astype("<u4" if wide else "<u2")
         docs, starts, sizes, parts = [], [], [], []
         for row, doc in enumerate(batch.column(0).to_pylist()):

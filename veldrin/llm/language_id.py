@@ -133,7 +133,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
     rate = F.create_map(*[F.lit(v) for r in counts for v in (r["_lang"], min(1.0, per_language / r["count"]))])
     draw = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) / 1e6
-    sample = rows.where(F.col("_lang").isin([r["_lang"] for r in counts])).where(draw < F.element_at(rate, F.col("_lang"))).select("_id", as_utf8("_text").alias("_text"), "_lang").limit(2 * per_language * len(counts)).collect()
+    sample = rows.where(F.col("_lang").isin([r["_lang"] for r in counts])).where(draw < F.element_at(rate, F.col("_lang"))).select("_id", as_utf8("_text").alias("_text"), "_lang").collect()
     sample.sort(key=lambda r: (str(r["_id"]), bytes(r["_text"]), r["_lang"]))
     if not sample:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))

@@ -1,6 +1,6 @@
 """Packing by Karmarkar-Karp multiway differencing: windows of near-equal fill, none above the capacity.
 
-Documents are cut losslessly into pieces: whole windows, each a sequence of its own, and what is left into pieces of at
+Documents are cut losslessly into pieces: whole windows, each a sequence of its own (of a negative number), and what is left into pieces of at
 most `piece` tokens of near-equal length. Pieces are dealt by a hash over shards of about `windows` windows each, whose
 number follows from the tokens. Within a shard every piece starts as a partial partition of one filled slot among m;
 the two partials with the largest spread are merged, the fullest slot of one with the emptiest of the other, until one
@@ -125,9 +125,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         sizes = pdf["length"].to_numpy()
-        whole = int((sizes == capacity).sum())
-        slots, _ = pack_sizes(sizes[whole:].tolist(), capacity)
-        slot = np.concatenate([np.arange(whole), np.array(slots, np.int64) + whole])
+        slots, _ = pack_sizes(sizes.tolist(), capacity)
+        slot = np.array(slots, np.int64)
         order = np.argsort(slot, kind="stable")
         ends = np.cumsum(sizes[order])
         first = np.concatenate([[True], slot[order][1:] != slot[order][:-1]])
@@ -136,5 +135,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
         offset[order] = begins - np.maximum.accumulate(np.where(first, begins, 0))
         return pdf.assign(sequence_id=(pdf["shard"].to_numpy().astype(np.int64) << 32) + slot, offset=offset)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(solve, SCHEMA + ", sequence_id long, offset long")
+    rest = pieces.where(F.col("length") < capacity)
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    packed = dealt.groupBy("shard").applyInPandas(solve, SCHEMA + ", sequence_id long, offset long")
+    # a whole window is a sequence by itself and meets no other; the rows of written files number it
+    whole = pieces.where(F.col("length") == capacity)
+    return packed.unionByName(whole.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
