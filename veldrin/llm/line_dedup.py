@@ -222,10 +222,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # A key counts if two lines have it: then the smallest and the largest of their hashes differ.
     by_key = lines.select(F.explode("keys").alias("key"), F.xxhash64("_d").alias("_g"))
     hit = stage(by_key.groupBy("key").agg(F.min("_g").alias("_lo"), F.max("_g").alias("_hi")).where("_lo <> _hi").select(F.col("key").alias("_k")), "keys")
-    found = lines.select("_d", F.explode("keys").alias("key")).join(hit, F.col("key") == F.col("_k"), "left_semi").distinct()
-    wanted = stage(found.groupBy("_d").agg(F.collect_set("key").alias("keys")), "wanted")  # a set of the line's own keys
-    texts = body.select("_text").mapInArrow(_texts, "_d binary, _line binary").withColumnRenamed("_d", "_e")
-    near = wanted.join(texts, F.col("_d") == F.col("_e")).groupBy("_d").agg(F.any_value("keys").alias("keys"), F.any_value("_line").alias("_line"))
+    # The keys hit and the lines wanted grow with the corpus, so these two joins merge at every size.
+    found = by_key.join(hit.hint("merge"), F.col("key") == F.col("_k"), "left_semi")
+    wanted = stage(found.groupBy("_g").agg(F.collect_set("key").alias("keys")), "wanted")  # a set of the line's own keys
+    texts = body.select("_text").mapInArrow(_texts, "_d binary, _line binary").withColumn("_e", F.xxhash64("_d"))
+    near = texts.join(wanted.hint("merge"), F.col("_g") == F.col("_e")).groupBy("_d").agg(F.any_value("keys").alias("keys"), F.any_value("_line").alias("_line"))
     # numbers are given as the table is written, so they are settled for all that reads it
     near = stage(near.mapInArrow(_sketch, "_d binary, keys array<long>, _line binary, _len int, counts array<int>").withColumn("_no", F.monotonically_increasing_id()), "near")
     members = stage(near.select(F.explode("keys").alias("key"), F.col("_no").alias("id")), "buckets")
