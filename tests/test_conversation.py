@@ -61,6 +61,9 @@ def test_nudges_batch_equals_stream(spark, tmp_path):
     assert batch == [
         (0, "hardship", True, ""), (0, "hesitation", False, "another nudge this turn"), (1, "hardship", False, "cooldown"), (2, "confusion", False, "below confidence floor"),
         (3, "escalation", True, ""), (4, "escalation", True, ""), (5, "hardship", True, ""), (6, "agent_threat", False, "call budget spent")]
+    muted = nudges.nudges(spark.createDataFrame(SIGNALS, schema), nudges.NudgeSettings(muted=frozenset(["hardship"]), max_per_turn=2)).collect()
+    assert {r.reason for r in muted if r.kind == "hardship"} == {"muted"} and [r.fired for r in muted if r.kind == "hesitation"] == [True]
+    assert nudges.nudges(spark.createDataFrame(SIGNALS, schema), nudges.NudgeSettings(enabled=False)).count() == 0
     for k, part in enumerate((SIGNALS[:4], SIGNALS[4:])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         q = streaming.stream_nudges(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), settings).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
@@ -94,7 +97,10 @@ def test_rules_are_three_valued(spark):
     assert got["y"].eligible and not got["y"].decided and got["y"].missing == ["age", "residency"]
     assert got["z"].eligible and got["z"].decided and got["z"].requirements == ["require_medical_exam"]
     assert not got["p"].eligible and got["q"].eligible
-    tests = [("age >= 51", True), ("age < 10", False), ("name == 'x'", True), ("age == 'x'", False), ("flag == true", True), ("none > 1", None), ("name > 3", None), ("a b c", None)]
+    lost = rules.assess(spark.createDataFrame([("n", "nowhere", {"age": "65"})], "caller_id string, unit string, facts map<string,string>"), catalogue.RULES)
+    row = lost.withColumn("said", rules.wording(lost, {})).first()
+    assert row.eligible is None and row.decided is None and row.said == row.decline_reason == "no rules for this unit"
+    tests = [("age >= 51", True), ("age < 10", False), ("name == 'x'", True), ("age == 'x'", False), ("flag == true", True), ("none > 1", None), ("name > 3", None), ("a b c", None), ("age == '60.0'", True), ("age != 6e1", False), ("flag != TRUE", False), ("flag > true", None), ("name != \"y\"", True)]
     row = spark.createDataFrame([({"age": "60", "name": "x", "flag": "true"},)], "f map<string,string>").select(*[rules.compile_test(t, F.col("f")).alias(f"c{i}") for i, (t, _) in enumerate(tests)]).first()
     assert [row[i] for i in range(len(tests))] == [w for _, w in tests]
 

@@ -99,7 +99,7 @@ def _fusion(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return fused, records, asked.select("query_id", "business_unit")
 
 
-FUSION_SQL = (BM25_SQL.replace(f"q AS (SELECT item_id, {TOKENS} AS t FROM benchmark)", "q AS (SELECT doc_id AS item_id, regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+') AS t FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0))")
+FUSION_SQL = (BM25_SQL.replace(f"q AS (SELECT item_id, {TOKENS} AS t FROM benchmark)", "q AS (SELECT doc_id AS item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0))")
     + "," + COSINE_SQL.replace("WITH v AS", "v AS") + """,
 kw AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM scores WHERE round(score, 9) > 0),
 vec AS (SELECT query_id, id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM c),
@@ -244,17 +244,18 @@ def retrievable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH b AS (SELECT 'kb_' || substr(sha256(doc_id::VARCHAR), 1, 10) || '_00' AS record_id, substr(sha256(array_to_string({TOKENS}, ' ')), 1, 16) AS h, doc_id FROM documents),
-n AS (SELECT record_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(sha256('changed'), 1, 16) ELSE h END AS content_hash FROM b WHERE doc_id % 10 <> 9),
-o AS (SELECT record_id, h FROM b WHERE doc_id % 4 <> 1)
+WITH b AS (SELECT 'kb_' || substr(sha256(doc_id::VARCHAR), 1, 10) || '_00' AS record_id, substr(sha256(array_to_string({TOKENS}, ' ')), 1, 16) AS h, doc_id, length(text) AS n_chars FROM documents),
+n AS (SELECT record_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(sha256('changed'), 1, 16) ELSE h END AS content_hash FROM b),
+o AS (SELECT record_id, h FROM b WHERE n_chars >= 400)
 SELECT n.record_id, content_hash, CASE WHEN o.h IS NULL OR o.h = content_hash THEN 1 ELSE 2 END AS version, CASE WHEN o.h IS NULL THEN 'new' WHEN o.h = content_hash THEN 'unchanged' ELSE 'changed' END AS change,
        CASE WHEN o.h IS NULL THEN 't2' ELSE 't1' END AS first_seen, CASE WHEN o.h = content_hash THEN 't1' ELSE 't2' END AS last_updated
 FROM n LEFT JOIN o USING (record_id)
 """)
 def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", X.stable_id(F.col("doc_id").cast("string"), F.lit(0)).alias("record_id"), X.content_hash(F.col("text")).alias("content_hash"))
-    before = store.snapshot(rows.where("doc_id % 4 <> 1").drop("doc_id"), None, "t1")
-    now = rows.where("doc_id % 10 <> 9").withColumn("content_hash", F.when(F.col("doc_id") % 3 == 0, F.substring(F.sha2(F.lit("changed"), 256), 1, 16)).otherwise(F.col("content_hash"))).drop("doc_id")
+    """All documents, after an earlier build that had no short ones; a third has changed since."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.stable_id(F.col("doc_id").cast("string"), F.lit(0)).alias("record_id"), X.content_hash(F.col("text")).alias("content_hash"), F.length("text").alias("n_chars"))
+    before = store.snapshot(rows.where("n_chars >= 400").drop("doc_id", "n_chars"), None, "t1")
+    now = rows.drop("n_chars").withColumn("content_hash", F.when(F.col("doc_id") % 3 == 0, F.substring(F.sha2(F.lit("changed"), 256), 1, 16)).otherwise(F.col("content_hash"))).drop("doc_id")
     return store.snapshot(now, before, "t2")
 
 

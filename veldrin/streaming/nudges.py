@@ -9,26 +9,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import signals as S
-from ..operators.nudges import OUT, CallState, NudgeSettings, consider, exploded, rows_of
+from ..operators.nudges import OUT, Budget, NudgeSettings, exploded, gated
 
 STATE = "last map<string,long>, fired int"
 
 
-def stream_nudges(signals: DataFrame, settings: NudgeSettings = NudgeSettings()) -> DataFrame:
-    """Fired and suppressed nudges from a stream of (conv_id, turn, ord, kind, confidence, evidence). A turn's signals
-    come in one micro-batch; turns of a call come in order."""
+def stream_nudges(signals: DataFrame, settings: NudgeSettings = NudgeSettings(), idle_ms: int | None = None) -> DataFrame:
+    """Fired and withheld nudges from a stream of (conv_id, turn, ord, kind, confidence, evidence). A turn's signals
+    come in one micro-batch; turns of a call come in order. A call that is idle for idle_ms is forgotten: a query that
+    runs for ever should set it, one that takes what is available shouldn't, as waiting for timeouts it doesn't end."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        call = CallState(dict(state.get[0]), int(state.get[1])) if state.exists else CallState()
-        rows, out = pd.concat(list(batches)).sort_values(["turn", "ord"], kind="stable"), []
-        for turn, part in rows.groupby("turn", sort=True):
-            out += rows_of(int(key[0]), int(turn), consider(call, int(turn), zip(part["kind"], part["confidence"], part["evidence"], strict=True), settings))
-        state.update((call.last, call.fired))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    rows = signals.select("conv_id", "turn", "ord", "kind", "confidence", "evidence")
-    return rows.groupBy("conv_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        budget = Budget(settings, *state.get) if state.exists else Budget(settings)
+        rows = pd.concat(list(batches)).sort_values(["turn", "priority", "confidence", "ord"], ascending=[True, False, False, True], kind="stable")
+        reasons = [w or budget.decide(int(t), k, int(c)) for w, t, k, c in zip(rows["withheld"].where(rows["withheld"].notna(), None), rows["turn"], rows["kind"], rows["cooldown"], strict=True)]
+        budget.settle()
+        state.update((budget.last, budget.fired))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield rows.assign(fired=[not r for r in reasons], reason=reasons)[[c.split()[0] for c in OUT.split(", ")]]
+
+    return gated(signals, settings).groupBy("conv_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def analyse(turns: DataFrame, settings: NudgeSettings = NudgeSettings()) -> DataFrame:
