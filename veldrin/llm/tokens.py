@@ -48,6 +48,7 @@ class _Words(dict):
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.single: dict[str, list[int]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -63,7 +64,13 @@ class _Words(dict):
         return place
 
     def _piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
+        """The model's ids of a piece; those of single characters, such as digits, are kept."""
+        if len(piece) == 1 and piece in self.single:
+            return self.single[piece]
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode())))]
+        if len(piece) == 1:
+            self.single[piece] = ids
+        return ids
 
     def __missing__(self, word: str) -> int:
         if word.isascii() and word.isalpha():
@@ -78,7 +85,13 @@ def _split(text: str) -> list[str]:
     if _ODD.search(text):
         return [w for w in regex.split(r"\s+", text) if w]
     if "'" not in text and not _WIDE.search(text):
-        text = _POINTS.sub(r" \g<0> ", text.lower())
+        text = text.lower()
+        points = [c for c in set(text) if c == "_" or not (c.isalnum() or c.isspace())]
+        if "\0" in points:
+            return _POINTS.sub(r" \g<0> ", text).split()
+        for c in points:  # set each one off by marks; two marks in a row are inside a run, which stays whole
+            text = text.replace(c, f"\0{c}\0")
+        text = text.replace("\0\0", "").replace("\0", " ")
     return text.split()
 
 
