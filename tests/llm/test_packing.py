@@ -136,10 +136,14 @@ def test_op3_gives_what_its_files_hold(spark, tmp_path):
         assert sorted(map(zlib.crc32, rows)) == sorted(r[column] for r in got)
     raw = b"".join(f.with_suffix(".cu_seqlens").read_bytes() for f in files)
     assert sorted(np.frombuffer(raw, "<u4").tolist()) == sorted(x for r in got for x in r.cu_seqlens)
-    packed = bin_output.sequences(spark.createDataFrame(docs, "doc_id long, text string"))
-    uri = f"file://{tmp_path}/again"
-    back = bin_output.read_matrices(bin_output.write_indexed(packed, uri), uri, rows_at_once=3).collect()
-    assert sorted(map(repr, back)) == sorted(map(repr, packed.collect()))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for windows in (512, 1):
+        packed = bin_output.sequences(df, windows=windows)
+        uri = f"file://{tmp_path}/again{windows}"
+        back = bin_output.read_matrices(bin_output.write_indexed(df, uri, windows=windows), uri, rows_at_once=3).collect()
+        assert sorted(map(repr, back)) == sorted(map(repr, packed.collect()))
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert bin_output.write_indexed(empty, f"file://{tmp_path}/none").count() == 0
 
 
 def test_empty_tables(spark):

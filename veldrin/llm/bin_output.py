@@ -97,33 +97,37 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, wid
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "start", "length", "ids"])
 
 
+def _dealt(docs: DataFrame, id_col: str, text: str, vocabulary: str | None, capacity: int, windows: int, wide: bool, tokens_a_character: float) -> DataFrame:
+    """Pieces of at most a window, each with its shard; a shard holds about `windows` windows."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_utf8(text).alias("text"))
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, round(total * tokens_a_character / (capacity * windows)))
+    pieces = rows.mapInArrow(lambda it: _cut(it, vocabulary, capacity, wide), "doc_id long, start long, length int, ids binary")
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(shards)))
+
+
+def _solved(pdf: pd.DataFrame, capacity: int, wide: bool) -> Iterator[tuple]:
+    """The sequences of a shard's pieces, one after the other, values as in SEQUENCES."""
+    width, kind = (4, "<u4") if wide else (2, "<u2")
+    pdf = pdf.assign(order=[zlib.crc32(x) for x in pdf["ids"]]).sort_values(["length", "doc_id", "start", "order"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+    window = np.array(best_fit_decreasing(pdf["length"].tolist(), capacity), np.int64)
+    shard = int(pdf["shard"].iloc[0]) << 32
+    where = np.arange(capacity, dtype=np.uint32)
+    for w, rows in pdf.groupby(window, sort=True):
+        ends = np.concatenate([[0], np.cumsum(rows["length"].to_numpy())]).astype(np.int32)
+        begins = np.append(ends[:-1], ends[-1:] if ends[-1] < capacity else ends[:0])
+        positions = where - np.repeat(begins, np.diff(np.append(begins, capacity))).astype(np.uint32)
+        yield shard + int(w), int(ends[-1]), rows["doc_id"].tolist(), rows["start"].tolist(), ends.tolist(), b"".join(rows["ids"]).ljust(capacity * width, b"\0"), positions.astype(kind).tobytes()
+
+
 def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, windows: int = WINDOWS, wide: bool = False, tokens_a_character: float = 0.4) -> DataFrame:
     """One row per sequence, columns as in SEQUENCES. wide: 32-bit ids, for vocabularies of more than 65,536.
 
     The number of shards follows from the characters of all texts, by tokens_a_character; it needn't be exact.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_utf8(text).alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, round(total * tokens_a_character / (capacity * windows)))
-    pieces = rows.mapInArrow(lambda it: _cut(it, vocabulary, capacity, wide), "doc_id long, start long, length int, ids binary")
-    width = 4 if wide else 2
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(order=[zlib.crc32(x) for x in pdf["ids"]]).sort_values(["length", "doc_id", "start", "order"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        window = np.array(best_fit_decreasing(pdf["length"].tolist(), capacity), np.int64)
-        shard = int(pdf["shard"].iloc[0]) << 32
-        out = []
-        for w, rows in pdf.groupby(window, sort=True):
-            ends = np.concatenate([[0], np.cumsum(rows["length"].to_numpy())]).astype(np.int32)
-            ids = b"".join(rows["ids"])
-            where = np.arange(capacity, dtype=np.uint32)
-            begins = np.append(ends[:-1], ends[-1:] if ends[-1] < capacity else ends[:0])
-            positions = where - np.repeat(begins, np.diff(np.append(begins, capacity))).astype(np.uint32)
-            out.append((shard + int(w), int(ends[-1]), rows["doc_id"].tolist(), rows["start"].tolist(), ends.tolist(), ids.ljust(capacity * width, b"\0"), positions.astype("<u4" if wide else "<u2").tobytes()))
-        return pd.DataFrame(out, columns=["sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", "ids", "positions"])
-
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(solve, SEQUENCES)
+    names = ["sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", "ids", "positions"]
+    dealt = _dealt(docs, id_col, text, vocabulary, capacity, windows, wide, tokens_a_character)
+    return dealt.groupBy("shard").applyInPandas(lambda pdf: pd.DataFrame(list(_solved(pdf, capacity, wide)), columns=names), SEQUENCES)
 
 
 def write_matrices(packed: DataFrame, uri: str, capacity: int = CAPACITY, wide: bool = False) -> DataFrame:
@@ -151,34 +155,53 @@ def write_matrices(packed: DataFrame, uri: str, capacity: int = CAPACITY, wide:
 INDEX = "part string, row long, cu_at long, cu_length long, sequence_id long, n_tokens int, doc_ids array<long>, starts array<long>"
 
 
-def write_indexed(packed: DataFrame, uri: str) -> DataFrame:
-    """Write the files of write_matrices; returns, for each sequence, its part, row and place in the cu_seqlens, and
-    the columns that aren't in the files. As a part counts when its index rows do, they are staged."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """The rows of each shard, from batches sorted by shard."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shard = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), batch.num_rows]
+        for lo, hi in itertools.pairwise(cuts):
+            if held and held[0].column("shard")[0].as_py() != shard[lo]:
+                yield pa.Table.from_batches(held).to_pandas()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).to_pandas()
+
+
+def write_indexed(docs: DataFrame, uri: str, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, windows: int = WINDOWS, wide: bool = False, tokens_a_character: float = 0.4) -> DataFrame:
+    """Pack docs as `sequences` does and write the files of write_matrices, a set for each partition of shards; returns,
+    for each sequence, its part, row and place in the cu_seqlens, and the columns that aren't in the files. A worker holds
+    a shard's pieces and one sequence. As a part counts when its index rows do, they are staged."""
+    names = ["part", "row", "cu_at", "cu_length", "sequence_id", "n_tokens", "doc_ids", "starts"]
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        first = next(batches, None)
-        while first is not None and not first.num_rows:
-            first = next(batches, None)
+        shards = _shards(batches)
+        first = next(shards, None)
         if first is None:
             return
         fs, at = pyarrow.fs.FileSystem.from_uri(uri)
         fs.create_dir(at)
         part, row, end = uuid.uuid4().hex, 0, 0
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         with fs.open_output_stream(f"{at}/{part}.ids") as ids, fs.open_output_stream(f"{at}/{part}.positions") as pos, fs.open_output_stream(f"{at}/{part}.cu_seqlens") as cu:
-            for b in itertools.chain([first], batches):
-                places = []
-                for i, p, c in zip(b.column("ids"), b.column("positions"), b.column("cu_seqlens").to_pylist(), strict=True):
-                    ids.write(i.as_buffer())
-                    pos.write(p.as_buffer())
-                    cu.write(np.array(c, "<u4").tobytes())
-                    places.append((part, row, end, len(c)))
-                    row, end = row + 1, end + len(c)
-                columns = [pa.array(v, t) for v, t in zip(zip(*places, strict=True) if places else [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-                kept = ["sequence_id", "n_tokens", "doc_ids", "starts"]
-                yield pa.RecordBatch.from_arrays([*columns, *[b.column(k) for k in kept]], names=["part", "row", "cu_at", "cu_length", *kept])
+            for shard in itertools.chain([first], shards):
+                out = []
+                for sequence, n, doc_ids, starts, ends, i, p in _solved(shard, capacity, wide):
+                    ids.write(i)
+                    pos.write(p)
+                    cu.write(np.array(ends, "<u4").tobytes())
+                    out.append((part, row, end, len(ends), sequence, n, doc_ids, starts))
+                    row, end = row + 1, end + len(ends)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return stage(packed.mapInArrow(write, INDEX), "index")
+    dealt = _dealt(docs, id_col, text, vocabulary, capacity, windows, wide, tokens_a_character)
+    return stage(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(write, INDEX), "index")
 
 
 def read_matrices(index: DataFrame, uri: str, capacity: int = CAPACITY, wide: bool = False, rows_at_once: int = 256) -> DataFrame:

@@ -36,7 +36,7 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per sequence, read back from the matrices in the shared folder: its documents, segment ends, and checksums of
     its id row and its position row."""
     uri = new_path(spark, "matrices")
-    index = bin_output.write_indexed(bin_output.sequences(table(spark, sf_dir, "documents").select("doc_id", "text")), uri)
+    index = bin_output.write_indexed(table(spark, sf_dir, "documents").select("doc_id", "text"), uri)
     packed = bin_output.read_matrices(index, uri)
     return packed.select("sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))
 
