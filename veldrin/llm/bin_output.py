@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
@@ -106,18 +105,22 @@ def _dealt(docs: DataFrame, id_col: str, text: str, vocabulary: str | None, capa
     return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(shards)))
 
 
-def _solved(pdf: pd.DataFrame, capacity: int, wide: bool) -> Iterator[tuple]:
+def _solved(pieces: pa.Table, capacity: int, wide: bool) -> Iterator[tuple]:
     """The sequences of a shard's pieces, one after the other, values as in SEQUENCES."""
     width, kind = (4, "<u4") if wide else (2, "<u2")
-    pdf = pdf.assign(order=[zlib.crc32(x) for x in pdf["ids"]]).sort_values(["length", "doc_id", "start", "order"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-    window = np.array(best_fit_decreasing(pdf["length"].tolist(), capacity), np.int64)
-    shard = int(pdf["shard"].iloc[0]) << 32
+    docs, starts, lengths, ids = (pieces.column(c).to_pylist() for c in ("doc_id", "start", "length", "ids"))
+    order = sorted(range(len(ids)), key=lambda i: (-lengths[i], docs[i] is None, docs[i] or 0, starts[i], zlib.crc32(ids[i])))
+    members: dict[int, list[int]] = {}
+    for i, w in zip(order, best_fit_decreasing([lengths[i] for i in order], capacity), strict=True):
+        members.setdefault(w, []).append(i)
+    shard = pieces.column("shard")[0].as_py() << 32
     where = np.arange(capacity, dtype=np.uint32)
-    for w, rows in pdf.groupby(window, sort=True):
-        ends = np.concatenate([[0], np.cumsum(rows["length"].to_numpy())]).astype(np.int32)
+    for w in sorted(members):
+        rows = members[w]
+        ends = np.cumsum([0, *(lengths[i] for i in rows)], dtype=np.int32)
         begins = np.append(ends[:-1], ends[-1:] if ends[-1] < capacity else ends[:0])
         positions = where - np.repeat(begins, np.diff(np.append(begins, capacity))).astype(np.uint32)
-        yield shard + int(w), int(ends[-1]), rows["doc_id"].tolist(), rows["start"].tolist(), ends.tolist(), b"".join(rows["ids"]).ljust(capacity * width, b"\0"), positions.astype(kind).tobytes()
+        yield shard + w, int(ends[-1]), [docs[i] for i in rows], [starts[i] for i in rows], ends.tolist(), b"".join(ids[i] for i in rows).ljust(capacity * width, b"\0"), positions.astype(kind).tobytes()
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, windows: int = WINDOWS, wide: bool = False, tokens_a_character: float = 0.4) -> DataFrame:
@@ -125,9 +128,12 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocab
 
     The number of shards follows from the characters of all texts, by tokens_a_character; it needn't be exact.
     """
-    names = ["sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", "ids", "positions"]
+    def solve(pieces: pa.Table) -> pa.Table:
+        kinds = {"sequence_id": pa.int64(), "n_tokens": pa.int32(), "doc_ids": pa.list_(pa.int64()), "starts": pa.list_(pa.int64()), "cu_seqlens": pa.list_(pa.int32()), "ids": pa.binary(), "positions": pa.binary()}
+        return pa.table([pa.array(v, t) for v, t in zip(zip(*_solved(pieces, capacity, wide), strict=True), kinds.values(), strict=True)], schema=pa.schema(list(kinds.items())))
+
     dealt = _dealt(docs, id_col, text, vocabulary, capacity, windows, wide, tokens_a_character)
-    return dealt.groupBy("shard").applyInPandas(lambda pdf: pd.DataFrame(list(_solved(pdf, capacity, wide)), columns=names), SEQUENCES)
+    return dealt.groupBy("shard").applyInArrow(solve, SEQUENCES)
 
 
 def write_matrices(packed: DataFrame, uri: str, capacity: int = CAPACITY, wide: bool = False) -> DataFrame:
@@ -155,7 +161,7 @@ def write_matrices(packed: DataFrame, uri: str, capacity: int = CAPACITY, wide:
 INDEX = "part string, row long, cu_at long, cu_length long, sequence_id long, n_tokens int, doc_ids array<long>, starts array<long>"
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each shard, from batches sorted by shard."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -165,11 +171,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), batch.num_rows]
         for lo, hi in itertools.pairwise(cuts):
             if held and held[0].column("shard")[0].as_py() != shard[lo]:
-                yield pa.Table.from_batches(held).to_pandas()
+                yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(lo, hi - lo))
     if held:
-        yield pa.Table.from_batches(held).to_pandas()
+        yield pa.Table.from_batches(held)
 
 
 def write_indexed(docs: DataFrame, uri: str, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, windows: int = WINDOWS, wide: bool = False, tokens_a_character: float = 0.4) -> DataFrame:
