@@ -3,7 +3,9 @@
 Only documents longer than a window are cut, losslessly, at multiples of it; whole windows are sequences of their own,
 and the other pieces go, longest first, each to the window with the least room that still takes it. A segment tree over
 the room that is left, 0 to the capacity, finds it: leaves hold the open windows with that room, and a descent finds
-the first leaf at or above a length. Pieces are dealt by a hash over shards of bounded size, so no task holds all.
+the first leaf at or above a length. Each partition is packed in shards of bounded size, as its documents come: nothing
+is shuffled, a task holds a shard, and a partition adds at most one window that little fills. Ids of sequences are those
+of partitions, so they follow from how the input is cut into partitions and are the same when a task is run again.
 
 A sequence's row has its ids (little-endian unsigned 16 or 32 bit, padded with 0), cu_seqlens (0, the segments' ends)
 and positions, which begin anew in each segment (and over the padding). Null text is the empty text, whose only id is
@@ -18,7 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,44 +100,64 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, wid
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "start", "length", "ids"])
 
 
-def _dealt(docs: DataFrame, id_col: str, text: str, vocabulary: str | None, capacity: int, windows: int, wide: bool, tokens_a_character: float) -> DataFrame:
-    """Pieces of at most a window, each with its shard; a shard holds about `windows` windows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_utf8(text).alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, round(total * tokens_a_character / (capacity * windows)))
-    pieces = rows.mapInArrow(lambda it: _cut(it, vocabulary, capacity, wide), "doc_id long, start long, length int, ids binary")
-    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(shards)))
+def _shards(pieces: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Pieces in the order in which they come, in tables of at least that many tokens, but for the last."""
+    held, tokens = [], 0
+    for batch in pieces:
+        held.append(batch)
+        tokens += pa.compute.sum(batch.column("length")).as_py() or 0
+        if tokens >= least:
+            yield pa.Table.from_batches(held)
+            held, tokens = [], 0
+    if tokens:
+        yield pa.Table.from_batches(held)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str | None, capacity: int, windows: int, wide: bool) -> Iterator[list[tuple]]:
+    """The sequences of a partition's texts, shard by shard, values as in SEQUENCES."""
+    first = TaskContext.get().partitionId() << 32
+    for shard in _shards(_cut(batches, vocabulary, capacity, wide), capacity * windows):
+        found = list(_solved(shard, capacity, wide, first))
+        first += len(found)
+        yield found
+
+
+def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_utf8(text).alias("text"))
 
 
-def _solved(pieces: pa.Table, capacity: int, wide: bool) -> Iterator[tuple]:
-    """The sequences of a shard's pieces, one after the other, values as in SEQUENCES."""
+def _solved(pieces: pa.Table, capacity: int, wide: bool, first: int) -> Iterator[tuple]:
+    """The sequences of a shard's pieces, numbered from `first`, values as in SEQUENCES."""
     width, kind = (4, "<u4") if wide else (2, "<u2")
     docs, starts, lengths, ids = (pieces.column(c).to_pylist() for c in ("doc_id", "start", "length", "ids"))
     order = sorted(range(len(ids)), key=lambda i: (-lengths[i], docs[i] is None, docs[i] or 0, starts[i], zlib.crc32(ids[i])))
     members: dict[int, list[int]] = {}
     for i, w in zip(order, best_fit_decreasing([lengths[i] for i in order], capacity), strict=True):
         members.setdefault(w, []).append(i)
-    shard = pieces.column("shard")[0].as_py() << 32
     where = np.arange(capacity, dtype=np.uint32)
     for w in sorted(members):
         rows = members[w]
         ends = np.cumsum([0, *(lengths[i] for i in rows)], dtype=np.int32)
         begins = np.append(ends[:-1], ends[-1:] if ends[-1] < capacity else ends[:0])
         positions = where - np.repeat(begins, np.diff(np.append(begins, capacity))).astype(np.uint32)
-        yield shard + w, int(ends[-1]), [docs[i] for i in rows], [starts[i] for i in rows], ends.tolist(), b"".join(ids[i] for i in rows).ljust(capacity * width, b"\0"), positions.astype(kind).tobytes()
+        yield first + w, int(ends[-1]), [docs[i] for i in rows], [starts[i] for i in rows], ends.tolist(), b"".join(ids[i] for i in rows).ljust(capacity * width, b"\0"), positions.astype(kind).tobytes()
 
 
-def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, windows: int = WINDOWS, wide: bool = False, tokens_a_character: float = 0.4) -> DataFrame:
-    """One row per sequence, columns as in SEQUENCES. wide: 32-bit ids, for vocabularies of more than 65,536.
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    The number of shards follows from the characters of all texts, by tokens_a_character; it needn't be exact.
-    """
-    def solve(pieces: pa.Table) -> pa.Table:
-        kinds = {"sequence_id": pa.int64(), "n_tokens": pa.int32(), "doc_ids": pa.list_(pa.int64()), "starts": pa.list_(pa.int64()), "cu_seqlens": pa.list_(pa.int32()), "ids": pa.binary(), "positions": pa.binary()}
-        return pa.table([pa.array(v, t) for v, t in zip(zip(*_solved(pieces, capacity, wide), strict=True), kinds.values(), strict=True)], schema=pa.schema(list(kinds.items())))
 
-    dealt = _dealt(docs, id_col, text, vocabulary, capacity, windows, wide, tokens_a_character)
-    return dealt.groupBy("shard").applyInArrow(solve, SEQUENCES)
+def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, windows: int = WINDOWS, wide: bool = False) -> DataFrame:
+    """One row per sequence, columns as in SEQUENCES. windows: least number of windows' tokens in a shard. wide: 32-bit
+    ids, for vocabularies of more than 65,536."""
+    names = ["sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", "ids", "positions"]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+        for shard in _packed(batches, vocabulary, capacity, windows, wide):
+            yield _batch(shard, names, kinds)
+
+    return _texts(docs, id_col, text).mapInArrow(solve, SEQUENCES)
 
 
 def write_matrices(packed: DataFrame, uri: str, capacity: int = CAPACITY, wide: bool = False) -> DataFrame:
@@ -161,33 +185,16 @@ def write_matrices(packed: DataFrame, uri: str, capacity: int = CAPACITY, wide:
 INDEX = "part string, row long, cu_at long, cu_length long, sequence_id long, n_tokens int, doc_ids array<long>, starts array<long>"
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each shard, from batches sorted by shard."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        shard = batch.column("shard").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), batch.num_rows]
-        for lo, hi in itertools.pairwise(cuts):
-            if held and held[0].column("shard")[0].as_py() != shard[lo]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def write_indexed(docs: DataFrame, uri: str, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, windows: int = WINDOWS, wide: bool = False, tokens_a_character: float = 0.4) -> DataFrame:
-    """Pack docs as `sequences` does and write the files of write_matrices, a set for each partition of shards; returns,
-    for each sequence, its part, row and place in the cu_seqlens, and the columns that aren't in the files. A worker holds
-    a shard's pieces and one sequence. As a part counts when its index rows do, they are staged."""
+def write_indexed(docs: DataFrame, uri: str, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, windows: int = WINDOWS, wide: bool = False) -> DataFrame:
+    """Pack docs as `sequences` does and write the files of write_matrices, a set for each partition; returns, for each
+    sequence, its part, row and place in the cu_seqlens, and the columns that aren't in the files. As a part counts when
+    its index rows do, they are staged."""
     names = ["part", "row", "cu_at", "cu_length", "sequence_id", "n_tokens", "doc_ids", "starts"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        shards = _shards(batches)
+        shards = _packed(batches, vocabulary, capacity, windows, wide)
         first = next(shards, None)
         if first is None:
             return
@@ -198,16 +205,15 @@ def write_indexed(docs: DataFrame, uri: str, id_col: str = "doc_id", text: str =
         with fs.open_output_stream(f"{at}/{part}.ids") as ids, fs.open_output_stream(f"{at}/{part}.positions") as pos, fs.open_output_stream(f"{at}/{part}.cu_seqlens") as cu:
             for shard in itertools.chain([first], shards):
                 out = []
-                for sequence, n, doc_ids, starts, ends, i, p in _solved(shard, capacity, wide):
+                for sequence, n, doc_ids, starts, ends, i, p in shard:
                     ids.write(i)
                     pos.write(p)
                     cu.write(np.array(ends, "<u4").tobytes())
                     out.append((part, row, end, len(ends), sequence, n, doc_ids, starts))
                     row, end = row + 1, end + len(ends)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield _batch(out, names, kinds)
 
-    dealt = _dealt(docs, id_col, text, vocabulary, capacity, windows, wide, tokens_a_character)
-    return stage(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(write, INDEX), "index")
+    return stage(_texts(docs, id_col, text).mapInArrow(write, INDEX), "index")
 
 
 def read_matrices(index: DataFrame, uri: str, capacity: int = CAPACITY, wide: bool = False, rows_at_once: int = 256) -> DataFrame:
