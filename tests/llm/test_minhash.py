@@ -6,8 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from veldrin.llm import minhash
-from veldrin.llm.common import connected_components
+from veldrin.llm import common, minhash
 
 
 def sets_of(text, k):
@@ -74,8 +73,30 @@ def test_nulls_ties_and_empty(spark):
         minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), percent=50)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("sent", [0, 1 << 16])
+def test_components(spark, monkeypatch, sent):
+    monkeypatch.setattr(common, "BROADCAST_EDGES", sent)
     edges = [(i, i + 1) for i in range(50)] + [(100, 60 + i) for i in range(30)] + [(7, 7), (None, 3)]
-    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {60 + i: 60 for i in range(30)} | {100: 60}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 16])
+def test_random_components_by_union_find(spark, monkeypatch, sent):
+    monkeypatch.setattr(common, "BROADCAST_EDGES", sent)
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(7, 1000 + i) for i in range(50)]
+    up = {i: i for e in edges if e[0] != e[1] for i in e}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    got = {r.id: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: root(i) for i in up}

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A word, in every operator here: a run of anything but space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Edges up to which connected components broadcast their nodes' minima: 2**17 rows of two numbers, some megabytes.
+BROADCAST_EDGES = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,6 +86,10 @@ def unpacked(names: list[str]) -> list[Column]:
     return [F.col("row").getField(c).alias(c) for c in names]
 
 
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 def _signature(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     return row[0], row[1] or 0
@@ -95,6 +101,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     Alternating large-star and small-star steps: a node's neighbours are tied to its smallest one, first the larger,
     then the smaller. Minima are partial aggregates and edges meet them in a join whose skewed keys Spark splits, so a
     node with very many edges is no single task's. Edges stay in Spark; the driver sees their number and a checksum.
+    While there are at most BROADCAST_EDGES edges, minima, of at most two nodes an edge, are broadcast instead.
     Null ends and loops are dropped; no edges give no rows.
     """
     e = stage(
@@ -104,13 +111,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     for _ in range(rounds):
         if not was[0]:
             break
+        sent = F.broadcast if was[0] <= BROADCAST_EDGES else _as_is
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = both.join(sent(low), F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        small = (
-            large.join(low, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
+        # the row of the minimum itself ties the node to it, the others their ends
+        small = large.join(sent(low), F.col("u") == F.col("w")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         old, e = e, stage(small, "cc")
         discard(old)
         was, before = _signature(e), was

@@ -41,22 +41,21 @@ def link(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], sketches
     sketches: a staged table of id, its members' `keys` and further columns. possible(x, y), given functions from such a
     column's name to it on either side, must hold for every link.
     """
-    links = comps = None
-    written: list[DataFrame] = []
+    comps: DataFrame | None = None
     words = [c for c in sketches.columns if c != "id"]
     data = [c for c in words if c != "keys"]
 
     def add(pairs: DataFrame) -> bool:
-        nonlocal links, comps
+        nonlocal comps
         new = stage(confirm(pairs), "links")
         if new.isEmpty():
             return False
-        written.append(new)
-        links = new if links is None else links.union(new)
-        old, found = comps, connected_components(links)
+        # links found before are in the components already: each id's to its component stands for them
+        edges = new.select("a", "b") if comps is None else new.select("a", "b").union(comps.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        old, found = comps, connected_components(edges)
         comps = stage(found, "components")
-        discard(found)
-        discard(old)
+        for t in (found, old, new):
+            discard(t)
         return True
 
     def labelled() -> DataFrame:
@@ -91,6 +90,6 @@ def link(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], sketches
         first = F.array_min(F.array_intersect("keys", "_x_keys")) == F.col("key")
         pairs = one.join(x, meet & possible(F.col, lambda c: F.col(f"_x_{c}")) & first)
         add(pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")))
-    for t in (still, rows, *written):
+    for t in (still, rows):
         discard(t)
     return comps
