@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_output, embedding_dedup, fingerprint, language_id, line_dedup, minhash, mixing, packing, secret_scan, warc
+from . import bin_output, embedding_dedup, fingerprint, hard_negatives, language_id, line_dedup, minhash, mixing, packing, secret_scan, warc
 from .common import new_path
 
 
@@ -73,6 +73,28 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(docs, size="n_words").select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return hard_negatives.mine(rows.withColumn("label", hard_negatives.relabelled(F.col("vec_id"), F.col("label"))))
+
+
+OP13_SQL = """
+WITH used AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM used a JOIN used b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+negatives AS (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM negatives WHERE rank <= 3
+"""
+
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -131,5 +153,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_fingerprint": op10_fingerprint,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-SQL: dict[str, str] = {"op9_mixing": OP9_SQL}
+SQL: dict[str, str] = {"op9_mixing": OP9_SQL, "op13_hard_negatives": OP13_SQL}
