@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_output, embedding_dedup, fingerprint, hard_negatives, language_id, line_dedup, minhash, mixing, packing, secret_scan, warc
+from . import bin_output, embedding_dedup, fingerprint, hard_negatives, language_id, line_dedup, minhash, mixing, packing, secret_scan, spelling, warc
 from .common import new_path
 
 
@@ -73,6 +73,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(docs, size="n_words").select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return hard_negatives.mine(rows.withColumn("label", hard_negatives.relabelled(F.col("vec_id"), F.col("label"))))
@@ -153,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_fingerprint": op10_fingerprint,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_hard_negatives": op13_hard_negatives,
 }
 SQL: dict[str, str] = {"op9_mixing": OP9_SQL, "op13_hard_negatives": OP13_SQL}
