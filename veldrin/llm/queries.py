@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_output, embedding_dedup, fingerprint, hard_negatives, language_id, line_dedup, minhash, mixing, packing, secret_scan, spelling, warc
+from . import bin_output, embedding_dedup, fingerprint, hard_negatives, language_id, line_dedup, minhash, mixing, packing, page_text, secret_scan, spelling, warc
 from .common import new_path
 
 
@@ -73,6 +73,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(docs, size="n_words").select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -157,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_fingerprint": op10_fingerprint,
+    "op11_html_text": op11_html_text,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_hard_negatives": op13_hard_negatives,
 }
