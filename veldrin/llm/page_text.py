@@ -126,19 +126,25 @@ class Page:
         stack, names, pieces = [0], [""], []
         at, owner = 0, 0
         out_of, search = self.out, TOKEN.search
+        opened: dict[str, int] = {}  # so that no tag is looked for among thousands where none is open
 
         def flush() -> None:
             if text := " ".join("".join(pieces).split()):
                 self.blocks.append((owner, text))
             pieces.clear()
 
+        def cut(k: int) -> None:
+            for name in names[k:]:
+                opened[name] -= 1
+            del names[k:], stack[k:]
+
         def close(tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] in tags:
-                    del names[k:], stack[k:]
-                    return
-                if names[k] in stop:
-                    return
+            if any(opened.get(t) for t in tags):
+                for k in range(len(names) - 1, 0, -1):
+                    if names[k] in tags:
+                        return cut(k)
+                    if names[k] in stop:
+                        return
 
         while m := search(html, at):
             if m.start() > at and not out_of[stack[-1]]:
@@ -154,9 +160,11 @@ class Page:
             if end:
                 if pieces and tag in BLOCKS:
                     flush()
-                if tag in names:
-                    k = len(names) - 1 - names[::-1].index(tag)
-                    del names[k:], stack[k:]
+                if opened.get(tag):
+                    k = len(names) - 1
+                    while names[k] != tag:
+                        k -= 1
+                    cut(k)
                 continue
             if tag in SPACES:
                 if pieces:
@@ -176,8 +184,8 @@ class Page:
                     flush()
                 if tag not in IN_P:
                     if names[-1] == "p":
-                        del names[-1], stack[-1]
-                    elif "p" in names:
+                        cut(len(names) - 1)
+                    else:
                         close(("p",), P_ENDS_AT)
                 if tag in ENDS:
                     close(*ENDS[tag])
@@ -196,6 +204,7 @@ class Page:
             if tag not in VOID and not rest.endswith("/"):
                 stack.append(len(self.parent) - 1)
                 names.append(tag)
+                opened[tag] = opened.get(tag, 0) + 1
         if at < len(html) and not out_of[stack[-1]]:
             if not pieces:
                 owner = stack[-1]
