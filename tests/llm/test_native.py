@@ -89,8 +89,8 @@ def py_lanes(text):
     for p in re.split("\n+", re.sub(r"([.!?][^\x20\x09-\x0D]{0,3})[\x20\x09\x0B-\x0D]", "\\1\n", text)):
         if p:
             for j in range(fp.LANES // 4):
-                seed = xxhash.xxh64_intdigest(p.encode(), 42)
-                h = xxhash.xxh64_intdigest(j.to_bytes(4, "little"), seed)
+                seed = xxhash.xxh64_intdigest(j.to_bytes(4, "little"), 42)
+                h = xxhash.xxh64_intdigest(p.encode(), seed)
                 for i in range(4):
                     v = h >> 16 * i & 0xFFFF
                     total[4 * j + i] += v - 0x10000 if v >= 0x8000 else v
@@ -138,3 +138,11 @@ def test_next_with_ties_and_nulls(spark):
     got = fp.edited(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.count() == 5
     assert fp.edited(spark.createDataFrame([(None, "only")], "doc_id long, text string")).count() == 1
+
+
+def test_hashes_of_a_paragraph_read_the_whole_of_it(spark):
+    """A lane's hash is seeded by its number: it doesn't follow from another hash of the paragraph."""
+    row = spark.sql("select xxhash64(3, 'abc') as own, xxhash64('abc', 3) as follows").first()
+    lanes = spark.sql("select array('abc') as p").select(fp.lanes(F.col("p")).alias("l")).first().l
+    part = lambda h: [((h >> (16 * i) & 0xFFFF) ^ 0x8000) - 0x8000 & fp._MASK for i in range(4)]
+    assert lanes[12:16] == part(row.own) != part(row.follows)

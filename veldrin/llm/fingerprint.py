@@ -31,7 +31,8 @@ def paragraphs(text: Column) -> Column:
 def lanes(parts: Column) -> Column:
     """array<bigint>, the lanes of the sum, modulo 2**32, of the vectors of the paragraphs (empty ones count nothing).
 
-    Each of LANES / 4 seeded 64-bit hashes of a paragraph gives four components.
+    Each of LANES / 4 64-bit hashes of a paragraph gives four components. The number comes first: its hash is the seed of
+    the paragraph's, so all hashes read the whole paragraph and none follows from another.
     """
     zero = F.struct(*[F.lit(0).cast("long").alias(f"l{i}") for i in range(4)])
 
@@ -39,7 +40,7 @@ def lanes(parts: Column) -> Column:
         return F.struct(*[(a[f"l{i}"] + F.shiftright(F.shiftleft(h, 48 - 16 * i), 48)).alias(f"l{i}") for i in range(4)])
 
     def four(j: int) -> Column:
-        hashes = F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.xxhash64(p, F.lit(j)))
+        hashes = F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.xxhash64(F.lit(j), p))
         return F.aggregate(hashes, zero, add, lambda a: F.array(*[a[f"l{i}"].bitwiseAND(F.lit(_MASK)) for i in range(4)]))
 
     return F.flatten(F.array(*[four(j) for j in range(LANES // 4)]))
