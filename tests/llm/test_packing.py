@@ -12,11 +12,13 @@ from veldrin.llm import bin_output, packing, tokens
 
 PATH = tokens.default_vocabulary()
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
+PLAIN = Tokenizer.from_file(PATH)
+PLAIN.encode_special_tokens = True
 
 
-def ids_of(text):
-    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, tokens.END]
+def ids_of(text, tokenizer=TOKENIZER):
+    """As the library comes; with PLAIN, strings of special tokens are text."""
+    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, tokens.END]
 
 
 def texts(n, seed=1):
@@ -29,9 +31,12 @@ def test_ids_equal_the_tokenizers():
     rng = random.Random(5)
     letters = list("aAéÉ.,'_-1½ \n\tñ!sTd́İßẞ² \u0085ªº·‘’Σ\x1d")
     odd = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(500)]
-    ids, at = tokens.encode(odd, PATH)
-    for i, t in enumerate(odd):
-        assert ids[at[i] : at[i + 1]].tolist() == ids_of(t)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|endoftext|><|endoftext|>"]
+    odd += ["".join(rng.choice([*letters, *marks, *marks]) for _ in range(rng.randrange(12))) for _ in range(500)]
+    for special, tokenizer in ((True, TOKENIZER), (False, PLAIN)):
+        ids, at = tokens.encode(odd, PATH, special)
+        for i, t in enumerate(odd):
+            assert ids[at[i] : at[i + 1]].tolist() == ids_of(t, tokenizer)
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -113,7 +118,7 @@ def test_matrices_round_trip(spark, tmp_path):
             assert pos[a:b].tolist() == list(range(b - a))
         assert pos[r.n_tokens :].tolist() == list(range(2048 - r.n_tokens))
     for d, t, _ in docs:
-        assert [x for key in sorted((k for k in found if k[0] == d), key=lambda k: k[1]) for x in found[key]] == ids_of(t)
+        assert [x for key in sorted((k for k in found if k[0] == d), key=lambda k: k[1]) for x in found[key]] == ids_of(t, PLAIN)
     parts = bin_output.write_matrices(packed, f"file://{tmp_path}/out").collect()
     assert sum(p.rows for p in parts) == packed.count()
     for p in parts:

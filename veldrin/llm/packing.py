@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_utf8, stage, text_slices
+from .common import as_utf8, quoted, stage, text_slices
 from .tokens import default_vocabulary, encode
 
 CAPACITY = 2048
@@ -101,10 +101,10 @@ def pack_sizes(sizes: list[int], capacity: int) -> tuple[list[int], int]:
     return slots, m
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, piece: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, piece: int, special: bool) -> Iterator[pa.RecordBatch]:
     path = path or default_vocabulary()
     for batch, texts in text_slices(batches, 1):
-        ids, at = encode([t.decode() for t in texts], path)
+        ids, at = encode([t.decode() for t in texts], path, special)
         out: list[list[int]] = [[], [], [], [], []]
         for row, doc in enumerate(batch.column(0).to_pylist()):
             lo, n = int(at[row]), int(at[row + 1] - at[row])
@@ -115,10 +115,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int,
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, piece: int = PIECE, windows: int = WINDOWS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_utf8(text).alias("text"))
-    pieces = stage(rows.mapInArrow(lambda it: _pieces(it, vocabulary, capacity, piece), SCHEMA), "pieces")
+def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, piece: int = PIECE, windows: int = WINDOWS, special: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. special: strings of special
+    tokens in a text are these tokens, as the vocabulary's tokenizer has them by default."""
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), as_utf8(quoted(text)).alias("text"))
+    pieces = stage(rows.mapInArrow(lambda it: _pieces(it, vocabulary, capacity, piece, special), SCHEMA), "pieces")
     tokens = pieces.where(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
     shards = max(1, round(tokens / (capacity * windows)))
 

@@ -2,7 +2,8 @@
 
 Pieces of that vocabulary never span white space, so a text's ids are those of its words in turn. Each distinct word is
 encoded once per worker and looked up after; a cache of bounded size is emptied when it is full. Words with letters
-outside the Latin blocks go through the whole tokenizer. Special tokens' strings in a text are ordinary text.
+outside the Latin blocks go through the whole tokenizer. Special tokens' strings in a text are their ids, as the library
+has them by default, or ordinary text, as is asked.
 """
 
 from __future__ import annotations
@@ -47,6 +48,9 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.special_ids = special
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.letters = _byte_letters()
         self.single: dict[str, list[int]] = {}
         self.reset()
@@ -55,8 +59,10 @@ class _Words(dict):
         self.clear()
         self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
         self._add(None, [END])
+        for name, i in self.special_ids.items():
+            self._add((name,), [i])
 
-    def _add(self, word: str | None, ids: list[int]) -> int:
+    def _add(self, word: str | tuple[str] | None, ids: list[int]) -> int:
         self[word] = place = len(self.starts)
         self.starts.append(len(self.flat))
         self.sizes.append(len(ids))
@@ -100,15 +106,21 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, each ended by END, one after the other; and where each begins, with the end of the last."""
+def encode(texts: list[str], path: str, special: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each ended by END, one after the other; and where each begins, with the end of the last.
+    special: strings of special tokens become these tokens."""
     cache = _words(path)
     if len(cache) > CACHED:
         cache.reset()
-    words: list[str | None] = []
+    words: list[str | tuple[str] | None] = []
+    marks = cache.special if special else None
     ends = []
     for t in texts:
-        words += _split(t)
+        if marks is not None and marks.search(t):
+            for i, part in enumerate(marks.split(t)):  # every second part is a special token's string
+                words += [(part,)] if i % 2 else _split(part)
+        else:
+            words += _split(t)
         words.append(None)
         ends.append(len(words))
     places = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
