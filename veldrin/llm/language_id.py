@@ -2,9 +2,14 @@
 
 A text's vector is the mean of the embeddings of its hashed byte 2- to 4-grams (letter case folded, runs of anything
 but letters made one space), the classes' scores are linear in it. Embeddings and weights are trained by stochastic
-gradient descent in numpy on the driver, on a bounded sample of labelled texts; a temperature is fitted on the part of
-the sample kept back, and so is the probability under which a prediction counts as rejected. As the mean and the
-scores are linear, prediction sums one row of class scores per n-gram over the whole text.
+gradient descent in numpy on the driver, on a bounded sample of labelled texts. As the mean and the scores are linear,
+prediction sums one row of class scores per n-gram over the whole text.
+
+Rejection is calibrated on the part of the sample kept back, on whole texts and on short cuts of them: a temperature,
+so that scores are probabilities for short texts too; the least probability that all but a few right predictions reach;
+and the share of 4-grams never seen in training that a text may have. That limit lies halfway between what all but a few
+texts of the labels have and what texts of a label have when it alone is left out of training, with three standard
+deviations for a text's length; texts in other languages and scripts are beyond it, whatever their score.
 
 Defined results: null text or one without a letter is `und` with score 0 and is rejected; without any labelled row
 (an empty table too) every text is `und`. Repeated rows get equal predictions. Extra columns pass through, but those
@@ -27,6 +32,10 @@ from .common import as_utf8, cleared, text_slices
 BUCKETS = 1 << 16
 #: Bytes of text that are scored at once, so that memory doesn't grow with a text.
 BLOCK = 1 << 18
+#: Bits of the hash by which 4-grams are known.
+SEEN_BITS = 24
+#: Bytes of the cuts that calibration uses beside whole texts.
+CUTS = (24, 60, 200)
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -43,6 +52,12 @@ def _grams(raw: np.ndarray) -> np.ndarray:
     return np.stack([(g * m >> 16).astype(np.int32) for g, m in zip((two, three ^ 0x5BD1E995, four ^ 0x27D4EB2F), _MULT, strict=True)])
 
 
+def _fours(raw: np.ndarray) -> np.ndarray:
+    """Hashes of the 4-grams that begin at each byte."""
+    b = raw.astype(np.uint32)
+    return ((b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24) * np.uint32(0x9E3779B1) >> (32 - SEEN_BITS)).astype(np.int32)
+
+
 def _blocks(text: bytes) -> Iterator[np.ndarray]:
     raw = _FOLD[np.frombuffer(b" " + text + b"    ", np.uint8)]
     raw = raw[np.concatenate([[True], (raw[1:] != 32) | (raw[:-1] != 32)])]
@@ -53,13 +68,31 @@ def _blocks(text: bytes) -> Iterator[np.ndarray]:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Class scores of each bucket (embedding times weights), biases, temperature and the least probability accepted."""
+    """Class scores of each bucket (embedding times weights), biases, temperature, the least probability accepted, the
+    4-grams seen in training (a bit each) and the greatest share of others that is accepted."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     floor: float = 0.0
+    seen: np.ndarray | None = None
+    foreign: float = 1.0
+
+    def unknown(self, text: bytes) -> tuple[float, int]:
+        """The share of a text's 4-grams that training didn't have, and their number."""
+        if self.seen is None:
+            return 0.0, 0
+        known = n = 0
+        for raw in _blocks(text):
+            g = _fours(raw)
+            known += int(np.count_nonzero(self.seen[g >> 3] >> (g & 7) & 1))
+            n += len(g)
+        return 1 - known / max(n, 1), n
+
+    def familiar(self, text: bytes) -> bool:
+        share, n = self.unknown(text)
+        return share <= self.foreign + 3 * (self.foreign * (1 - self.foreign) / max(n, 1)) ** 0.5
 
     def logits(self, text: bytes) -> np.ndarray:
         total, n = np.zeros(len(self.languages)), 0
@@ -107,18 +140,33 @@ def fit(texts: list[bytes], langs: list[str], dim: int = 16, epochs: int = 12, r
             bias -= 0.05 * step * p
             emb[ids] -= (step * np.minimum(share * len(ids), 4))[:, None] * back
     model = LanguageModel(names, np.ascontiguousarray(emb @ w), bias.astype(np.float64))
-    z = np.stack([sum(s[:, None] * model.table[i] for i, s in [bags[k]]).sum(axis=0) + bias for k in kept_back]).astype(np.float64)
+    whole = [(texts[k], y[k]) for k in kept_back]
+    cuts = [(t[at : at + n], c) for t, c in whole for n in CUTS if len(t) > n for at in [int(rng.integers(len(t) - n))]]
+    z = np.stack([model.logits(t) for t, _ in whole + cuts])
+    right = np.array([c for _, c in whole + cuts])
 
     def prob(t: float) -> np.ndarray:
         e = np.exp((z - z.max(axis=1, keepdims=True)) / t)
         return e / e.sum(axis=1, keepdims=True)
 
-    grid = np.geomspace(0.05, 20, 61)
-    loss = [-np.log(np.maximum(prob(t)[np.arange(len(z)), y[kept_back]], 1e-12)).mean() for t in grid]
+    grid = np.geomspace(0.002, 20, 93)
+    loss = [-np.log(np.maximum(prob(t)[np.arange(len(z)), right], 1e-12)).mean() for t in grid]
     best = float(grid[int(np.argmin(loss))])
-    right = prob(best).max(axis=1)[prob(best).argmax(axis=1) == y[kept_back]]
-    floor = min(0.5, float(np.quantile(right, false_rejections))) if len(right) and len(names) > 1 else 0.0
-    return LanguageModel(names, model.table, model.bias, best, floor)
+    p = prob(best)
+    sure = p.max(axis=1)[p.argmax(axis=1) == right]
+    floor = float(np.quantile(sure, false_rejections)) if len(sure) and len(names) > 1 else 0.0
+    own = [np.unique(np.concatenate([_fours(b) for k in learn if y[k] == c for b in _blocks(texts[k])] or [np.zeros(0, np.int32)])) for c in range(len(names))]
+    counts = np.zeros(1 << SEEN_BITS, np.uint8)
+    for grams in own:
+        counts[grams] += counts[grams] < 255
+    model = LanguageModel(names, model.table, model.bias, best, floor, np.packbits(counts > 0, bitorder="little"))
+    near = np.quantile([model.unknown(t)[0] for t, _ in whole], 1 - false_rejections)
+    far = []
+    for t, c in whole if len(names) > 1 else []:
+        g = np.concatenate([_fours(b) for b in _blocks(t)])
+        far.append((c, 1 - np.count_nonzero(counts[g] > np.isin(g, own[c])) / max(len(g), 1)))
+    left_out = np.median([np.median([v for k, v in far if k == c]) for c in {k for k, _ in far}]) if far else 1.0
+    return LanguageModel(names, model.table, model.bias, best, floor, model.seen, float(min(1.0, max(near, (near + left_out) / 2))))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_language: int = 400, longest: int = 20_000, languages: int = 200) -> LanguageModel:
@@ -167,4 +215,4 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
 def _one(m: LanguageModel, text: bytes) -> tuple[str, float, bool]:
     p = m.probabilities(text)
     i = int(p.argmax())
-    return m.languages[i], float(min(1.0, p[i])), bool(p[i] >= m.floor)
+    return m.languages[i], float(min(1.0, p[i])), bool(p[i] >= m.floor) and m.familiar(text)
