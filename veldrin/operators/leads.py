@@ -80,5 +80,5 @@ def create_leads(calls: DataFrame, on: str) -> DataFrame:
     next_action. Ids follow from the day and the call, so a rerun gives the same ones."""
     state = [F.col(c) for c in ("escalated_to", "decided", "eligible")]
     return calls.withColumns({
-        "lead_id": F.concat(F.lit(f"LD-{on}-"), F.substring(F.sha2(F.col("conv_id").cast("string"), 256), 1, 6)),
+        "lead_id": F.concat(F.lit(f"LD-{on}-"), F.substring(F.sha2(F.col("conv_id").cast("string"), 256), 1, 16)),
         "outcome": outcome(*state), "next_action": next_action(*state, F.col("missing"), F.col("requirements"))})

@@ -38,7 +38,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (SELECT o_orderkey AS call_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'underwriting' ELSE '' END AS e, o_orderstatus <> 'P' AS d, o_totalprice > 100000 AS q,
                   CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE 'age, ' || lower(o_orderstatus) END AS m, CASE WHEN o_orderpriority = '2-HIGH' THEN 'medical exam, proof of income' ELSE '' END AS r FROM orders),
 a AS (SELECT *, CASE WHEN e <> '' THEN 'escalated' WHEN NOT d THEN 'incomplete' WHEN q THEN 'qualified' ELSE 'declined' END AS outcome FROM c)
-SELECT 'LD-20240101-' || substr(sha256(call_id::VARCHAR), 1, 6) AS lead_id, call_id, outcome, CASE outcome WHEN 'escalated' THEN 'Handed to a person during the call. No callback needed.'
+SELECT 'LD-20240101-' || substr(sha256(call_id::VARCHAR), 1, 16) AS lead_id, call_id, outcome, CASE outcome WHEN 'escalated' THEN 'Handed to a person during the call. No callback needed.'
   WHEN 'incomplete' THEN 'Call back to complete qualification. Still needed: ' || CASE WHEN m = '' THEN 'the remaining questions' ELSE m END || '.'
   WHEN 'declined' THEN 'Do not quote. Send the declined-applicant letter and offer the alternatives.'
   ELSE CASE WHEN r = '' THEN 'Quote from the rate table and call back within one working day.' ELSE 'Quote from the rate table, then arrange: ' || r || '.' END END AS next_action FROM a
