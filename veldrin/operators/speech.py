@@ -121,15 +121,10 @@ def is_prompt_echo(text: Column, prompt: Column) -> Column:
 
 
 def is_own_voice(heard: Column, spoken: Column, least: float = 0.8) -> Column:
-    """Whether three to six heard words are mostly those just spoken, each as often as it was."""
+    """Whether three to six heard words, each as often as it was heard, are mostly among those just spoken."""
     def of(s: Column) -> Column:
-        h, sp = s["h"], s["s"]
-
-        def count(a: Column, x: Column) -> Column:
-            return F.size(F.filter(a, lambda y: y == x))
-
-        shared = F.aggregate(F.transform(F.array_distinct(h), lambda x: F.least(count(h, x), count(sp, x))), F.lit(0), lambda a, n: a + n)
-        return F.size(h).between(3, 6) & (shared >= least * F.size(h))
+        shared = F.size(F.filter(s["h"], lambda x: F.array_contains(s["s"], x)))
+        return F.size(s["h"]).between(3, 6) & (shared >= least * F.size(s["h"]))
 
     return X.let(F.struct(_words(heard).alias("h"), _words(spoken).alias("s")), of)
 

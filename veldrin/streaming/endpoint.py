@@ -1,129 +1,70 @@
-"""Endpointing of call audio: frames to utterances, as one state machine for batch and streaming."""
+"""Endpointing over a stream of frames: the batch machine with its state in keyed state."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-# Audio format and limits.
-RATE, WIDTH, FRAME_MS = 16_000, 2, 20
-FRAME_BYTES = RATE * WIDTH * FRAME_MS // 1000
-START_FRAMES, END_FRAMES, KEPT_SILENCE, MAX_FRAMES = 3, 35, 3, 25_000 // FRAME_MS
-LEAST_VOICED, LEAST_SHARE, LEAST_MS, LEAST_RMS = 5, 0.20, 250, 100
-UTTERANCE = "call_id long, first_frame long, last_frame long, duration_ms double, ended_by string, rms double, reason string"
+from ..operators.frames import FRAME_BYTES, UTTERANCE, UTTERANCE_NAMES, Listener, energy, reframe, utterances  # noqa: F401  (part of this module's interface)
 
 
-@dataclass
-class Listener:
-    """Where a call is: frames that may belong to a turn, runs, counts. It holds at most one turn of frames' energies."""
+class _Endpointing(StatefulProcessor):
+    """A call's listener; a call that has been idle for idle_ms is flushed by a timer and forgotten."""
 
-    speaking: bool = False
-    run: int = 0
-    silence: int = 0
-    voiced: int = 0
-    first: int = 0
-    energies: tuple[float, ...] = ()
-    held: int = 0  # frames before the turn that would be kept
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
 
-    def feed(self, frame: int, voiced: bool, energy: float) -> tuple | None:
-        """energy: the mean square of the frame's samples. Returns (first, last, ms, ended by, rms, reason) when a turn
-        ends; the reason is empty if it counts as an utterance."""
-        if not self.speaking:
-            self.energies = (*self.energies, energy)[-(START_FRAMES + 1):]
-            self.run = self.run + 1 if voiced else 0
-            if self.run >= START_FRAMES:
-                self.speaking, self.first, self.silence, self.voiced = True, frame - len(self.energies) + 1, 0, self.run
-            return None
-        self.energies = (*self.energies, energy)
-        self.silence = 0 if voiced else self.silence + 1
-        self.voiced += voiced
-        if self.silence >= END_FRAMES:
-            return self.end("silence")
-        return self.end("length") if len(self.energies) >= MAX_FRAMES else None
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("listener", "speaking boolean, run int, silence int, voiced int, first long, energies array<double>, timer long")
 
-    def end(self, by: str) -> tuple:
-        frames, first, voiced = self.energies, self.first, self.voiced
-        self.speaking, self.run, self.silence, self.voiced, self.energies = False, 0, 0, 0, ()
-        kept = len(frames) - (END_FRAMES - KEPT_SILENCE) if by == "silence" and len(frames) - (END_FRAMES - KEPT_SILENCE) > 1 else len(frames)
-        loud = float(np.sqrt(np.mean(frames[:kept])))
-        ms = float(kept * FRAME_MS)
-        if voiced < LEAST_VOICED or voiced / max(1, len(frames)) < LEAST_SHARE:
-            why = "too little voice"
-        else:
-            why = "too short" if ms < LEAST_MS else "too quiet" if loud < LEAST_RMS else ""
-        return first, first + kept - 1, ms, by, loud, why
+    def _load(self) -> tuple[Listener, int]:
+        if not self.state.exists():
+            return Listener(), 0
+        *s, energies, timer = self.state.get()
+        return Listener(*s, list(energies)), timer
 
-    def flush(self) -> tuple | None:
-        return self.end("close") if self.speaking else None
-
-
-def reframe(pending: bytes, chunk: bytes) -> tuple[list[bytes], bytes]:
-    """Whole frames of what was left over and a chunk of any size, and what is left over now."""
-    data = pending + chunk
-    n = len(data) // FRAME_BYTES
-    return [data[i * FRAME_BYTES : (i + 1) * FRAME_BYTES] for i in range(n)], data[n * FRAME_BYTES :]
-
-
-def energy(frame: bytes) -> float:
-    x = np.frombuffer(frame[: len(frame) // 2 * 2], "<i2").astype(np.float64)
-    return float(np.mean(x * x)) if len(x) else 0.0
-
-
-def utterances(frames: DataFrame) -> DataFrame:
-    """Utterances of whole calls from (call_id, frame_no, voiced, rms) rows; calls end with their last frame."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, listener, out = pdf.sort_values("frame_no"), Listener(), []
-        call = int(pdf["call_id"].iloc[0])
-        for n, v, r in zip(pdf["frame_no"], pdf["voiced"], pdf["rms"], strict=True):
-            found = listener.feed(int(n), bool(v), float(r) ** 2)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        listener, timer = self._load()
+        closed = False
+        for r in sorted(rows, key=lambda r: (r.frame_no, r.closed)):
+            found = listener.flush() if r.closed else listener.feed(r.frame_no, r.voiced, r.rms * r.rms)
+            closed = r.closed
             if found:
-                out.append((call, *found))
-        last = listener.flush()
-        if last:
-            out.append((call, *last))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in UTTERANCE.split(", ")])
-
-    return frames.select("call_id", "frame_no", "voiced", "rms").groupBy("call_id").applyInPandas(fold, UTTERANCE)
-
-
-STATE = "speaking boolean, run int, silence int, voiced int, first long, energies array<double>"
-
-
-def stream_utterances(frames: DataFrame) -> DataFrame:
-    """The same over a stream of frames, in order within a call; a row whose `closed` is true ends its call."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        listener = Listener()
-        if state.exists:
-            s = state.get
-            listener = Listener(bool(s[0]), int(s[1]), int(s[2]), int(s[3]), int(s[4]), tuple(s[5]))
-        out, closed = [], False
-        rows = pd.concat(list(batches)).sort_values("frame_no")
-        for n, v, r, c in zip(rows["frame_no"], rows["voiced"], rows["rms"], rows["closed"], strict=True):
-            found = listener.flush() if c else listener.feed(int(n), bool(v), float(r) ** 2)
-            closed = closed or bool(c)
-            if found:
-                out.append((int(key[0]), *found))
+                yield Row(**dict(zip(UTTERANCE_NAMES, (key[0], *found), strict=True)))
+        if timer:
+            self.handle.deleteTimer(timer)
         if closed:
-            state.remove()
-        else:
-            state.update((listener.speaking, listener.run, listener.silence, listener.voiced, listener.first, list(listener.energies)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in UTTERANCE.split(", ")])
-
-    rows = frames.select("call_id", "frame_no", "voiced", "rms", F.coalesce("closed", F.lit(False)).alias("closed"))
-    return rows.groupBy("call_id").applyInPandasWithState(step, UTTERANCE, STATE, "append", GroupStateTimeout.NoTimeout)
+            self.state.clear()
+            return
+        timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms if self.idle_ms else 0
+        if timer:
+            self.handle.registerTimer(timer)
+        self.state.update((listener.speaking, listener.run, listener.silence, listener.voiced, listener.first, listener.energies, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        listener, timer = self._load()
+        if timer == expiredTimerInfo.getExpiryTimeInMs():  # else a timer of before the call's last frames
+            if found := listener.flush():
+                yield Row(**dict(zip(UTTERANCE_NAMES, (key[0], *found), strict=True)))
+            self.state.clear()
+
+
+def stream_utterances(frames: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream of frames, in order within a call; a row whose `closed` is true ends its call, and so does
+    idle_ms without a frame. A query that runs for ever should set it; one that takes what is available shouldn't, as it
+    would wait for the timers for ever."""
+    rows = frames.select(
+        F.col("call_id").cast("long").alias("call_id"), F.col("frame_no").cast("long").alias("frame_no"), F.coalesce("voiced", F.lit(False)).alias("voiced"), F.coalesce(F.col("rms").cast("double"), F.lit(0.0)).alias("rms"),
+        F.coalesce("closed", F.lit(False)).alias("closed"))
+    return rows.groupBy("call_id").transformWithState(_Endpointing(idle_ms), UTTERANCE, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def interruptions(frames: DataFrame, run: int = 12) -> DataFrame:
     """(call_id, frame_no): where voiced frames while the agent speaks reach a run of `run`; frames have agent_speaking."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("call_id").orderBy("frame_no")
     hit = F.col("voiced") & F.col("agent_speaking")
     rows = frames.withColumn("_h", hit).withColumn("_g", F.sum((~hit).cast("int")).over(order))
