@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SECTION = "source_type string, source_ref string, source_origin string, title string, content string, heading_level int, language string, retrieved_at string, extraction_method string, char_count int, quality_flags array<string>"
 
+# Slots that say who a caller is; and names that other packs may give them.
+CONTACTS = ("full_name", "contact_number", "email", "name", "phone", "address")
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,9 +55,13 @@ def rules_text(rules: DataFrame, per: str = "unit") -> DataFrame:
     return rows.select(per, "kind", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"))
 
 
-def leads(spark: SparkSession, rows: DataFrame, working: str, evidence: str, private: tuple[str, ...] = ("name", "phone", "email", "address")) -> None:
+def without_contacts(collected: Column, private: tuple[str, ...] = CONTACTS) -> Column:
+    return F.transform_values(collected, lambda k, v: F.when(k.isin(*private), F.lit("[redacted]")).otherwise(v))
+
+
+def leads(spark: SparkSession, rows: DataFrame, working: str, evidence: str, private: tuple[str, ...] = CONTACTS) -> None:
     """Two writes of one set of leads: the working copy, and the evidence without contact fields."""
-    redacted = rows.withColumn("collected", F.transform_values("collected", lambda k, v: F.when(k.isin(*private), F.lit("[redacted]")).otherwise(v)))
+    redacted = rows.withColumn("collected", without_contacts(F.col("collected"), private))
     held = F.exists(F.map_keys("collected"), lambda k: k.isin(*private))
     write_json(rows, working)
     write_json(redacted.withColumn("contact_held", held), evidence)
