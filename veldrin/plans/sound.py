@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import frames
+from ..operators import frames, recognition
 from .catalogue import query, table
 
 #: The machine as a recursion over frames; loudness from the frames that an utterance keeps.
@@ -40,3 +40,31 @@ def call_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("call_id"), "event_id", place.alias("place")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(11))))
     made = rows.select("call_id", (F.col("place") * 12 + F.col("j")).alias("frame_no"), (F.col("event_id") * 7919 % 5 < 2).alias("voiced"), (60 + F.col("event_id") % 300 + F.col("j")).alias("rms"))
     return frames.utterances(made).withColumn("rms", F.round("rms", 4))
+
+SAID = ["pay sixty thousand by friday", "punten abdi mayar", "dua juta tiga ratus ribu", "my policy has lapsed", "bayad po ang premium due date", "call 4 7 please"]
+HEARD = ["pay 60000 by friday", "punten abdi bayar", "", "Rp2.300.000", "my polcy has lapse", "the premium due date", "call 4 please"]
+PAIRS = [(0, 0), (0, 2), (1, 1), (2, 3), (3, 4), (4, 5), (5, 6)]
+
+#: What each pair comes to is stated by hand.
+SCORES_SQL = """
+WITH pair(k, said, accuracy, lost, failures) AS (VALUES
+  (0, 'pay sixty thousand by friday', 1.0::DOUBLE, '', ''),
+  (1, 'pay sixty thousand by friday', 0.0::DOUBLE, 'pay,60000,by,friday', 'pay=whole utterance lost;60000=whole utterance lost;by=whole utterance lost;friday=whole utterance lost'),
+  (2, 'punten abdi mayar', 2 / 3::DOUBLE, 'mayar', 'mayar=regional word, heard as bayar'),
+  (3, 'dua juta tiga ratus ribu', 1.0::DOUBLE, '', ''),
+  (4, 'my policy has lapsed', 0.5::DOUBLE, 'policy,lapsed', 'policy=heard as polcy;lapsed=heard as lapse'),
+  (5, 'bayad po ang premium due date', 0.5::DOUBLE, 'bayad,po,ang', 'bayad=one language dropped;po=one language dropped;ang=one language dropped'),
+  (6, 'call 4 7 please', 0.75::DOUBLE, '7', '7=number')),
+rows AS (SELECT event_type AS provider, value AS ms, pair.* FROM events JOIN pair ON k = event_id % 7)
+SELECT provider, said, lost, failures, count(*) AS n, round(avg(accuracy), 6) AS accuracy, round(median(ms), 6) AS median_ms FROM rows GROUP BY ALL
+"""
+
+
+@query(SCORES_SQL)
+def recognition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as results of recognisers: what was said and heard follows from their ids, the provider is their type."""
+    at = F.element_at(F.array(*[F.struct(F.lit(SAID[s]).alias("said"), F.lit(HEARD[h]).alias("heard"), F.lit("sundanese" if s == 1 else "").alias("accent")) for s, h in PAIRS]), (F.col("event_id") % len(PAIRS) + 1).cast("int"))
+    rows = recognition.scored(table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), F.col("value").alias("ms"), at.alias("p")).select("provider", "ms", "p.*"))
+    told = F.array_join(F.transform("failures", lambda f: F.concat(f["word"], F.lit("="), f["failure"])), ";")
+    by = rows.groupBy("provider", "said", F.array_join("missed", ",").alias("lost"), told.alias("failures"))
+    return by.agg(F.count("*").alias("n"), F.round(F.avg("accuracy"), 6).alias("accuracy"), F.round(F.median("ms"), 6).alias("median_ms"))
