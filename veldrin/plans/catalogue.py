@@ -220,9 +220,21 @@ def unit_authority_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("business_unit", "authority").agg(F.count("*").alias("n"))
 
 
-@query()
+KB_RECORDS_SQL = SECTION_SQL + """,
+d AS (SELECT c.*, CASE WHEN doc_id % 3 = 0 THEN 'Due 5/3/2024, March 7, 2024 and 9 Apr 21. ' ELSE '' END || text AS content, CASE WHEN doc_id % 3 = 0 THEN 'Due 2024-03-05, 2024-03-07 and 2021-04-09. ' ELSE '' END || text AS new_content FROM c),
+h AS (SELECT *, substr(text, 1, 40) || chr(10) || substr(content, 1, 400) AS hay, row_number() OVER (ORDER BY md5(doc_id::VARCHAR)) AS ord FROM d),
+k AS (SELECT *, CASE """ + " ".join(f"WHEN regexp_matches(hay, '(?i){pattern}') THEN '{name}'" for name, pattern in clean.vocab.CATEGORIES) + f""" ELSE '{clean.vocab.DEFAULT_CATEGORY}' END AS category FROM h)
+SELECT 'kb_' || category || '_' || lpad(ord::VARCHAR, greatest(3, len(ord::VARCHAR))::INT, '0') AS record_id, category, business_unit, authority,
+       substr(sha256(array_to_string(regexp_extract_all(lower(new_content), '[a-z0-9]+'), ' ')), 1, 16) AS content_hash, length(new_content) AS char_count, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END AS dates_normalised FROM k
+"""
+
+
+@query(KB_RECORDS_SQL)
 def kb_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.build_records(_sections(spark, sf_dir)).select("record_id", "category", "business_unit", "authority", "content_hash", "char_count", "dates_normalised")
+    """Sections in no order, every third with dates, numbered by a hash of their ids."""
+    dated = F.when(F.col("doc_id") % 3 == 0, F.lit("Due 5/3/2024, March 7, 2024 and 9 Apr 21. ")).otherwise(F.lit(""))
+    rows = _sections(spark, sf_dir).withColumns({"content": F.concat(dated, "content"), "source_order": F.md5(F.col("doc_id").cast("string").cast("binary"))})
+    return clean.build_records(rows, rank=True).select("record_id", "category", "business_unit", "authority", "content_hash", F.col("char_count").cast("long").alias("char_count"), "dates_normalised")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
