@@ -21,7 +21,10 @@ def test_words_for_findings(spark):
     texts = ["the policy is due and you will pay", "magkano po ang premium ng policy", "xyz"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(L.described(speech.code_switch(F.col("t")))).collect()]
     assert got[0] == "english throughout" and got[1].startswith("switched between tagalog 67%, english 33%") and got[2] == "nothing recognisable"
-    said = lambda mixed, drift, f, i: F.struct(F.lit(mixed).alias("mixed"), F.array(*[F.lit(x) for x in drift]).cast("array<string>").alias("drift")), F.array(*[F.lit(x) for x in f]).cast("array<string>"), F.array(*[F.lit(x) for x in i]).cast("array<string>")
-    one = lambda *a: spark.range(1).select(L.explained(*said(*a))).first()[0]
+    strings = lambda words: F.array(*[F.lit(w) for w in words]).cast("array<string>")
+
+    def one(mixed, drift, formal, informal):
+        return spark.range(1).select(L.explained(F.struct(F.lit(mixed).alias("mixed"), strings(drift).alias("drift")), strings(formal), strings(informal))).first()[0]
+
     assert one(False, [], [], []) == "consistent"
     assert one(True, ["the", "is", "the"], ["po", "po"], ["ka"]) == "mixes formal ['po'] with informal ['ka']; drifts into English: ['is', 'the']"
