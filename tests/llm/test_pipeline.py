@@ -35,3 +35,28 @@ def test_stages(spark):
     assert four.columns == docs.columns and set(r.doc_id for r in four.collect()) <= ids and abs(four.count() - 1.5 * len(ids)) < 12
     five = stages["packing"](spark, four, "").collect()
     assert max(r.offset + r.length for r in five) <= 2048 and {r.doc_id for r in five} == {r.doc_id for r in four.collect()}
+
+
+def test_columns_of_any_name_come_through(spark):
+    rng = random.Random(2)
+    words = {"en": ["the", "of", "and", "there", "which", "house"], "de": ["der", "und", "nicht", "schön", "über", "gehen"]}
+    names = ["target", "size", "taken", "source_size", "positions", "position", "score", "accepted", "lang_pred", "n_lines", "n_dropped", "gone", "_gone", "row", "key", "kept", "a.b", "id", "h"]
+    rows = [(i if i % 9 else None, "\n".join(" ".join(rng.choice(words[lang]) + str(rng.randrange(99)) for _ in range(25)) for _ in range(2)), lang, f"s{i % 2}", *[f"{n}{i}" for n in names]) for i in range(60) for lang in [("en", "de")[i % 2]]]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    want = {r[4]: r for r in rows}
+    for name, step in cp.STAGES[:-1]:
+        docs = stage(step(spark, docs, ""), name)
+        assert docs.columns == [c.split()[0].strip("`") for c in schema.split(", ")]
+        got = docs.collect()
+        assert len(got) >= 50
+        for r in got:
+            assert tuple(r)[4:] == want[r.target][4:] and r.doc_id == want[r.target][0] and r.text == want[r.target][1]
+    assert cp.STAGES[-1][1](spark, docs, "").count() >= 50
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int")
+    for name, step in cp.STAGES:
+        docs = step(spark, docs, "")
+        assert docs.count() == 0
