@@ -74,8 +74,9 @@ def contains_personal_data(text: Column) -> Column:
 
 def counts(protected: DataFrame) -> DataFrame:
     """Findings and rows touched, by kind."""
-    rows = protected.select(F.monotonically_increasing_id().alias("row"), F.explode("pii_findings").alias("f"))
-    return rows.groupBy(F.col("f.kind").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("row").alias("rows_touched"))
+    kinds = F.array_distinct(F.transform("pii_findings", lambda f: f["kind"]))
+    rows = protected.select(F.explode(kinds).alias("kind"), "pii_findings")  # a row for each kind of a record
+    return rows.groupBy("kind").agg(F.sum(F.size(F.filter("pii_findings", lambda f: f["kind"] == F.col("kind")))).alias("n"), F.count("*").alias("rows_touched"))
 
 
 def score(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def score(expected: DataFrame, found: DataFrame) -> DataFrame:
     hit = (F.col("e.row") == F.col("f.row")) & (F.col("e.kind") == F.col("f.kind")) & (F.contains(F.col("f.text"), F.col("e.value")) | F.contains(F.col("e.value"), F.col("f.text")))
     e, f = expected.alias("e"), found.alias("f")
     caught = e.join(f, hit, "left").groupBy("e.row", "e.kind", "e.value").agg(F.max(F.length("f.text")).alias("longest"))
-    by = caught.groupBy("kind").agg(F.count("*").alias("expected"), F.count("longest").alias("caught"), F.avg(F.least(F.lit(1.0), F.col("longest") / F.length("value"))).alias("coverage"))
+    by = caught.groupBy("kind").agg(F.count("*").alias("expected"), F.count("longest").alias("caught"), F.avg(F.when(F.col("longest").isNotNull(), F.least(F.lit(1.0), F.col("longest") / F.length("value")))).alias("coverage"))
     spurious = f.join(e, hit, "left_anti").groupBy("kind").agg(F.count("*").alias("spurious"))
     out = by.join(spurious, "kind", "full_outer").na.fill(0, ["expected", "caught", "spurious"])
     return out.select("kind", "expected", "caught", F.when(F.col("expected") > 0, F.col("caught") / F.col("expected")).otherwise(1.0).alias("recall"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "spurious")

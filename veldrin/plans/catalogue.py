@@ -317,7 +317,15 @@ def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", F.regexp_replace("line", "[0-9]+", "#").alias("shape")).agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, ls FROM l),
+line AS (SELECT doc_id, pos, trim(ls[pos]) AS t FROM n WHERE trim(ls[pos]) <> ''),
+h AS (SELECT *, regexp_matches(t, '^(\d+)\.\s+([A-Z][^.]{3,70})$') OR regexp_matches(t, '(?i)^(Pasal\s+\d+)\s*:\s*(.+)$') OR regexp_matches(t, '(?i)^(Section\s+\d+)\s*[:.]\s*(.+)$') AS is_head FROM line),
+g AS (SELECT *, sum(is_head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM h),
+s AS (SELECT doc_id, part, coalesce(max(t) FILTER (is_head), 'document') AS title, coalesce(string_agg(t, ' ' ORDER BY pos) FILTER (NOT is_head), '') AS content FROM g GROUP BY doc_id, part)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INT AS section, title, length(content)::INT AS n_chars FROM s WHERE length(content) >= 40
+""")
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = layout.document_sections(table(spark, sf_dir, "documents").select("doc_id", "text"), fallback=F.lit("document"))
     return rows.select("doc_id", "section", "title", F.length("content").alias("n_chars"))
@@ -379,7 +387,25 @@ def _event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("turn", turn.cast("long")).select("conv_id", "turn", F.lit(0).alias("ord"), "kind", (0.7 + F.col("confidence") * 0.3).alias("confidence"), F.col("event_type").alias("evidence"))
 
 
-@query()
+#: The fold as a recursion over a call's turns; a turn has one signal here.
+NUDGE_SQL = """
+WITH RECURSIVE rule(kind, floor, cooldown) AS (VALUES ('hesitation', 0.72::DOUBLE, 3), ('buying_signal', 0.72, 3), ('payment_promise', 0.72, 3), ('confusion', 0.72, 2), ('knowledge_gap', 0.9, 1), ('hardship', 0.7, 4)),
+named(event_type, k) AS (VALUES ('view', 'hesitation'), ('click', 'buying_signal'), ('purchase', 'payment_promise'), ('login', 'confusion'), ('search', 'knowledge_gap')),
+t AS (
+  SELECT user_id AS conv_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS turn, kind, floor, cooldown, 0.7::DOUBLE + (value % 1) * 0.3::DOUBLE AS confidence
+  FROM events LEFT JOIN named USING (event_type) JOIN rule ON kind = coalesce(k, 'hardship')),
+s AS (
+  SELECT DISTINCT user_id AS conv_id, -1::BIGINT AS turn, '' AS kind, MAP([]::VARCHAR[], []::BIGINT[]) AS last, 0 AS spent, NULL::VARCHAR AS reason FROM events
+  UNION ALL
+  SELECT conv_id, turn, kind, CASE WHEN reason = '' THEN map_concat(last, MAP([kind], [turn])) ELSE last END, spent + (reason = '')::INT, reason FROM (
+    SELECT s.conv_id, t.turn, t.kind, s.last, s.spent,
+           CASE WHEN t.confidence < least(1.0::DOUBLE, t.floor) THEN 'below confidence floor' WHEN t.turn <= s.last[t.kind] + t.cooldown THEN 'cooldown' WHEN s.spent >= 3 THEN 'call budget spent' ELSE '' END AS reason
+    FROM s JOIN t ON t.conv_id = s.conv_id AND t.turn = s.turn + 1))
+SELECT conv_id, turn, kind, reason = '' AS fired, reason FROM s WHERE turn >= 0
+"""
+
+
+@query(NUDGE_SQL)
 def nudge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nudges.nudges(_event_signals(spark, sf_dir), nudges.NudgeSettings(max_per_call=3)).select("conv_id", "turn", "kind", "fired", "reason")
 
