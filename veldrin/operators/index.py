@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import versions
+
 # Columns that interchange formats hold as JSON.
 LISTS = ("pii_types", "terminology_variants", "conflicts_with", "quality_flags")
 
@@ -20,17 +22,18 @@ def load_records(spark: SparkSession, path: str, retrievable_only: bool = True)
 
 
 def build_index(records: DataFrame, vectors: DataFrame, path: str, signature: str) -> DataFrame:
-    """Write (record_id, embedding, signature) for each of `records` that `vectors` (record_id, embedding) has one for,
-    and read it back. The signature names the model, as vectors of two models aren't comparable."""
+    """The index's next version: (record_id, embedding, signature) for each of `records` that `vectors` (record_id,
+    embedding) has one for. vectors may be read from an earlier version. The signature names the model, as vectors of two
+    models aren't comparable."""
     ids = records.select("record_id").distinct()
-    vectors.join(ids, "record_id", "left_semi").select("record_id", "embedding", F.lit(signature).alias("signature")).write.mode("overwrite").parquet(path)
-    return records.sparkSession.read.parquet(path)
+    rows = vectors.join(ids, "record_id", "left_semi").select("record_id", "embedding", F.lit(signature).alias("signature"))
+    return versions.publish(rows, path, signature=signature)
 
 
 def open_index(records: DataFrame, index: DataFrame, signature: str) -> DataFrame:
     """Records with their vectors, joined by id and not by position; records without one, and vectors whose record has
-    gone, are left out. An index of another model is an error."""
-    other = index.where(F.col("signature") != signature).select("signature").first()
-    if other:
-        raise ValueError(f"the index was built with {other[0]!r}, not {signature!r}: build it again")
+    gone, are left out. An index of another model is an error; as one has one signature, any row tells."""
+    found = index.select("signature").first()
+    if found and found[0] != signature:
+        raise ValueError(f"the index was built with {found[0]!r}, not {signature!r}: build it again")
     return records.join(index.select("record_id", "embedding"), "record_id")

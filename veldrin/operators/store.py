@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources import versions
 from ..functions import vocab
 
 
@@ -91,18 +92,8 @@ def snapshot(chunks: DataFrame, before: DataFrame | None, stamp: str) -> DataFra
 
 
 def replace_table(snapshot_rows: DataFrame, path: str, partition_by: str | None = "business_unit") -> DataFrame:
-    """Write a snapshot beside the path that it may read from, then put it in the path's place."""
-    spark = snapshot_rows.sparkSession
-    writer = snapshot_rows.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path + ".new")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(fs_path(path + ".old"), True)
-    if fs.exists(fs_path(path)):
-        fs.rename(fs_path(path), fs_path(path + ".old"))
-    fs.rename(fs_path(path + ".new"), fs_path(path))
-    fs.delete(fs_path(path + ".old"), True)
-    return spark.read.parquet(path)
+    """A snapshot as the table's next version; it may read the one before, which stays until the next but one."""
+    return versions.publish(snapshot_rows, path, partition_by)
 
 
 def upsert(meta: DataFrame, changes: DataFrame) -> DataFrame:
