@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import clean, conversation, layout, metrics, nudges, privacy, retrieval, rules, signals, store
+from ..operators import clean, conversation, layout, metrics, nearest, nudges, privacy, retrieval, rules, signals, store
 from ..sources import files, html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,8 +81,9 @@ SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number()
 """)
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set is every vector whose id is divisible by 100."""
-    scores = _vectors(spark, sf_dir).withColumn("score", F.round("score", 9))
-    return retrieval.ranked(scores, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = nearest.cosine_topk(v, v.where("vec_id % 100 = 0"), "vec_id", "embedding", "vec_id", "embedding", 5)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def _fusion(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
