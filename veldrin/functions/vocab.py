@@ -74,19 +74,19 @@ PII = (
     ("ADDRESS", r"\b\d{1,4}\s+[A-Z][A-Za-z'.-]+(?:\s+[A-Z][A-Za-z'.-]+){0,3}\s+(?:Street|St\.|Avenue|Ave\.?|Road|Rd\.?|Drive|Highway)\b" + LOCALITY_TAIL),
 )
 NAME = r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z']{1,}){1,3}\b"
-NOT_A_NAME = """
-    solara finance group health shield life philippines multifinance indonesia insurance corporation assurance
-    essential plus max term whole educational plan bank partner meridian tower bonifacio global city taguig
-    jakarta selatan pusat bandung surabaya semarang jawa barat timur tengah quezon makati manila davao cavite
-    pasig iloilo baguio cebu pampanga leyte yogyakarta sleman surakarta waiting period premium policy cover
-    benefit claim rider maternity critical illness hospital accredited member annual monthly january february march
-    april may june july august september october november december monday saturday sunday pasal otoritas
-    jasa keuangan menara lantai kartu keluarga toyota honda avanza vario brio singapore thailand malaysia
-    asia east south philippine republic distribution operations lead product interest agent notes full
-    name home address contact gov income account street avenue road drive pembiayaan
-    mobil motor multiguna baru bekas slip gaji rekening koran terakhir usia tenor denda angsuran cicilan
-    surat peringatan pertama kedua kunjungan lapangan
-""".split()
+NOT_A_NAME = [
+    "solara", "finance", "group", "health", "shield", "life", "philippines", "multifinance", "indonesia", "insurance", "corporation", "assurance",
+    "essential", "plus", "max", "term", "whole", "educational", "plan", "bank", "partner", "meridian", "tower", "bonifacio", "global", "city",
+    "taguig", "jakarta", "selatan", "pusat", "bandung", "surabaya", "semarang", "jawa", "barat", "timur", "tengah", "quezon", "makati", "manila",
+    "davao", "cavite", "pasig", "iloilo", "baguio", "cebu", "pampanga", "leyte", "yogyakarta", "sleman", "surakarta", "waiting", "period", "premium",
+    "policy", "cover", "benefit", "claim", "rider", "maternity", "critical", "illness", "hospital", "accredited", "member", "annual", "monthly",
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "monday", "saturday",
+    "sunday", "pasal", "otoritas", "jasa", "keuangan", "menara", "lantai", "kartu", "keluarga", "toyota", "honda", "avanza", "vario", "brio",
+    "singapore", "thailand", "malaysia", "asia", "east", "south", "philippine", "republic", "distribution", "operations", "lead", "product",
+    "interest", "agent", "notes", "full", "name", "home", "address", "contact", "gov", "income", "account", "street", "avenue", "road", "drive",
+    "pembiayaan", "mobil", "motor", "multiguna", "baru", "bekas", "slip", "gaji", "rekening", "koran", "terakhir", "usia", "tenor", "denda",
+    "angsuran", "cicilan", "surat", "peringatan", "pertama", "kedua", "kunjungan", "lapangan",
+]
 
 # Ranking.
 RRF_K = 60

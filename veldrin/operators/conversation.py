@@ -18,16 +18,18 @@ AFFIRMATION = r"(?i)\b(yes|yeah|yep|no|nope|ok|okay|sure|right|fine|alright|than
 SLOT_ANSWER = r"(?i)^\s*(i am|i'm|im|about|around|roughly|its|it's|just)?\s*[\d\s,]*(years?\s*old|k|thousand|ribu|juta|pesos?|php|rp)?[\s.,!]*$"
 REFUSALS = ("do not have that", "don't have that", "do not have this", "rather not guess", "wrong information", "cannot answer", "do not have any information", "no information on")
 # Words that prove nothing when a reply shares them with a record.
-COMMON = """
-    the and for you your that this with have has are was will would can could any all not but from there here what when how who which our
-    may one two yes sure okay please thank thanks ang mga ako ninyo iyan ito kayo kung para yang dan untuk dengan pada adalah saya anda
-    ini itu sudah akan bisa tidak kami juga atau
-""".split()
+COMMON = [
+    "the", "and", "for", "you", "your", "that", "this", "with", "have", "has", "are", "was", "will", "would", "can", "could", "any", "all", "not",
+    "but", "from", "there", "here", "what", "when", "how", "who", "which", "our", "may", "one", "two", "yes", "sure", "okay", "please", "thank",
+    "thanks", "ang", "mga", "ako", "ninyo", "iyan", "ito", "kayo", "kung", "para", "yang", "dan", "untuk", "dengan", "pada", "adalah", "saya", "anda",
+    "ini", "itu", "sudah", "akan", "bisa", "tidak", "kami", "juga", "atau",
+]
 # Words that don't tell one question from another.
-FILLER = """
-    what is the a an do does you your i my me can could would please tell about for of to and how it that so or not then just still again any
-    are was be have has on in at with
-""".split()
+FILLER = [
+    "what", "is", "the", "a", "an", "do", "does", "you", "your", "i", "my", "me", "can", "could", "would", "please", "tell", "about", "for", "of",
+    "to", "and", "how", "it", "that", "so", "or", "not", "then", "just", "still", "again", "any", "are", "was", "be", "have", "has", "on", "in", "at",
+    "with",
+]
 CITATION_OVERLAP, MIN_QUESTION, ACKNOWLEDGEMENT, HISTORY = 2, 8, 22, 8
 
 

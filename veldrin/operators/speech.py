@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 # Words that belong to one language.
-TAGALOG = """
-    ang ng mga po opo ako ikaw kayo niyo siya tayo namin natin nila iyan iyon ito dito doon kung kasi dahil pero para wala meron
-    mayroon hindi oo magkano kailan paano bakit sino ano saan bayad hulog buwan araw salamat sige naman lang din rin nga muna pala yung pwede
-""".split()
-INDONESIAN = """
-    yang dan di ke dari untuk dengan pada adalah saya aku kamu anda kita mereka ini itu sudah belum akan bisa tidak nggak iya ya kalau
-    karena tapi juga lagi masih berapa kapan bagaimana gimana kenapa siapa dimana bulan hari bayar cicilan angsuran denda tenor jatuh tempo terima kasih
-""".split()
-ENGLISH = "the is are and but for with that this have will would can please thank you your what when how why who where which there here about from".split()
-ENGLISH_DOMAIN = """
-    premium policy monthly annual grace period coverage beneficiary rider lapse claim payment plan insurance due date branch bank online
-    transfer balance agent approve approved reject process customer service
-""".split()
+TAGALOG = [
+    "ang", "ng", "mga", "po", "opo", "ako", "ikaw", "kayo", "niyo", "siya", "tayo", "namin", "natin", "nila", "iyan", "iyon", "ito", "dito", "doon",
+    "kung", "kasi", "dahil", "pero", "para", "wala", "meron", "mayroon", "hindi", "oo", "magkano", "kailan", "paano", "bakit", "sino", "ano", "saan",
+    "bayad", "hulog", "buwan", "araw", "salamat", "sige", "naman", "lang", "din", "rin", "nga", "muna", "pala", "yung", "pwede",
+]
+INDONESIAN = [
+    "yang", "dan", "di", "ke", "dari", "untuk", "dengan", "pada", "adalah", "saya", "aku", "kamu", "anda", "kita", "mereka", "ini", "itu", "sudah",
+    "belum", "akan", "bisa", "tidak", "nggak", "iya", "ya", "kalau", "karena", "tapi", "juga", "lagi", "masih", "berapa", "kapan", "bagaimana",
+    "gimana", "kenapa", "siapa", "dimana", "bulan", "hari", "bayar", "cicilan", "angsuran", "denda", "tenor", "jatuh", "tempo", "terima", "kasih",
+]
+ENGLISH = [
+    "the", "is", "are", "and", "but", "for", "with", "that", "this", "have", "will", "would", "can", "please", "thank", "you", "your", "what", "when",
+    "how", "why", "who", "where", "which", "there", "here", "about", "from",
+]
+ENGLISH_DOMAIN = [
+    "premium", "policy", "monthly", "annual", "grace", "period", "coverage", "beneficiary", "rider", "lapse", "claim", "payment", "plan", "insurance",
+    "due", "date", "branch", "bank", "online", "transfer", "balance", "agent", "approve", "approved", "reject", "process", "customer", "service",
+]
 LEAST_SHARE = 0.15
 # Formal and informal address, by language.
 ADDRESS = {
@@ -28,17 +33,22 @@ ADDRESS = {
     "id": (r"(?i)\b(bapak|ibu|anda|pak|bu|silakan|mohon)\b", r"(?i)\b(kamu|lo|lu|gue|gua|elo)\b"),
 }
 ENGLISH_DRIFT = r"(?i)\b(the|is|are|was|were|and|but|for|with|that|this|there|have|has|will|would|could|should|please|thank|you|your|we|our|they|them|from|about|because|however|therefore|regarding)\b"
-TAGLISH_LOCAL = """
-    po opo ang ng sa na ay mga ito iyan iyon kayo niyo ninyo inyo ako namin natin kami tayo hindi oo wala meron mayroon pwede puwede
-    kung para dahil kasi pero at o salamat magandang araw umaga hapon gabi maganda mabuti sige lang din rin naman nga ba pa nyo ninyong
-    tayong bayad hulog bago matapos tulong makakatulong naiintindihan ipapaabot ingat oras tawag tawagan balik check sandali
-""".split()
+TAGLISH_LOCAL = [
+    "po", "opo", "ang", "ng", "sa", "na", "ay", "mga", "ito", "iyan", "iyon", "kayo", "niyo", "ninyo", "inyo", "ako", "namin", "natin", "kami",
+    "tayo", "hindi", "oo", "wala", "meron", "mayroon", "pwede", "puwede", "kung", "para", "dahil", "kasi", "pero", "at", "o", "salamat", "magandang",
+    "araw", "umaga", "hapon", "gabi", "maganda", "mabuti", "sige", "lang", "din", "rin", "naman", "nga", "ba", "pa", "nyo", "ninyong", "tayong",
+    "bayad", "hulog", "bago", "matapos", "tulong", "makakatulong", "naiintindihan", "ipapaabot", "ingat", "oras", "tawag", "tawagan", "balik",
+    "check", "sandali",
+]
 # What recognisers return for silence, and words that are no answer alone.
 HALLUCINATIONS = [
     "thank you", "thanks", "thank you.", "thanks for watching", "thanks for watching!", "thank you for watching", "you", "bye", "bye.", ".", "...", ". . .",
     "[silence]", "[music]", "(music)", "[blank_audio]", "subtitles by the amara.org community", "amara.org", "please subscribe",
 ]
-FRAGMENTS = "and so the a i um uh er ah eh mm hmm but or of to is it well like at in on ng na ba yung eh... ang sa yang di ke".split()
+FRAGMENTS = [
+    "and", "so", "the", "a", "i", "um", "uh", "er", "ah", "eh", "mm", "hmm", "but", "or", "of", "to", "is", "it", "well", "like", "at", "in", "on",
+    "ng", "na", "ba", "yung", "eh...", "ang", "sa", "yang", "di", "ke",
+]
 LONGEST_PIECE, SHORTEST_PIECE = 220, 24
 VOICE_PREFIX = {"en": "en-", "fil": "fil-PH-", "tl": "fil-PH-", "id": "id-ID-"}
 
