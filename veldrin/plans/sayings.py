@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocab
-from ..operators import conversation, nudges, privacy, signals, speech
+from ..operators import clean, conversation, nudges, privacy, signals, speech
 from .catalogue import query, table
 
 
@@ -108,3 +108,27 @@ def text_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform(X.claimed_durations(text, vocab.TOPICS["grace_period"]), lambda c: c["days"].cast("string")), ",").alias("grace"), X.for_speech(text).alias("speech"), speech.is_silence(text).alias("silence"),
         conversation.needs_knowledge(text).alias("needs"), F.array_join(speech.code_switch(text)["languages"], ",").alias("languages"), speech.region(text, {"sunda": ["punten"], "jawa": ["nggih"]}).alias("region"),
         speech.register(text)["mixed"].alias("mixed"))
+
+
+CLAIMS = ["The grace period is 30 days. Pay then.", "A grace period of thirty-one or 31 days applies.", "Grace period: two months.", "Nothing is said of it here, 90 days.", "The grace period is 60 days."]
+CONFLICT_SQL = """
+WITH claim(k, days, quote) AS (VALUES (0, 30, 'The grace period is 30 days.'), (1, 31, 'A grace period of thirty-one or 31 days applies.'), (2, 60, 'Grace period: two months.'), (4, 60, 'The grace period is 60 days.')),
+r AS (SELECT event_id, 'r' || event_id AS record_id, event_id // 8 AS u, CASE event_id % 3 WHEN 0 THEN 'binding' WHEN 1 THEN 'published' ELSE 'promotional' END AS authority, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END AS rank, days, quote
+      FROM events JOIN claim ON k = event_id % 5 WHERE event_id % 11 <> 0),
+p AS (SELECT l.*, r.record_id AS r_id, r.days AS r_days, r.quote AS r_quote, r.authority AS r_authority, r.rank < l.rank AS right_wins FROM r l JOIN r ON l.u = r.u AND l.event_id < r.event_id AND abs(l.days - r.days)::DOUBLE / greatest(l.days, r.days) > 0.1)
+SELECT 'grace_period' AS topic, 'u' || u AS business_unit, record_id || ',' || r_id AS records, days || ' days (' || authority || ');' || r_days || ' days (' || r_authority || ')' AS claims, quote || '|' || r_quote AS quotes,
+       CASE WHEN authority <> r_authority THEN 'authority' ELSE 'unresolved' END AS resolved_by, CASE WHEN right_wins THEN r_id ELSE record_id END AS authoritative, CASE WHEN right_wins THEN record_id ELSE r_id END AS superseded,
+       'contradicts_' || CASE WHEN right_wins THEN r_authority ELSE authority END || '_source' AS flag FROM p
+"""
+
+
+@query(CONFLICT_SQL)
+def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records, eight to a unit; every eleventh is a duplicate."""
+    at = F.col("event_id")
+    authority = F.when(at % 3 == 0, F.lit("binding")).when(at % 3 == 1, F.lit("published")).otherwise(F.lit("promotional"))
+    rows = _said(spark, sf_dir, CLAIMS, "content").select(
+        F.concat(F.lit("r"), at.cast("string")).alias("record_id"), at.alias("ord"), F.concat(F.lit("u"), F.floor(at / 8).cast("string")).alias("business_unit"), authority.alias("authority"),
+        F.when(at % 11 == 0, F.lit("r0")).otherwise(F.lit("")).alias("duplicate_of"), "content")
+    found = clean.conflicts(rows)
+    return found.select("topic", "business_unit", F.array_join("records", ",").alias("records"), F.array_join("claims", ";").alias("claims"), F.array_join("quotes", "|").alias("quotes"), "resolved_by", "authoritative", "superseded", "flag")
