@@ -32,8 +32,12 @@ def test_layout(spark):
     tables = [(1, 1, 10.0, [["A", "B"], ["x", "1"]]), (1, 2, 5.0, [["A", "B"], ["y", "2"]]), (1, 3, 5.0, [["7", "3"]]), (1, 3, 50.0, [["C", "D"], ["w", "9"]]), (1, 5, 5.0, [["v", "8"]])]
     got = layout.rejoin_tables(spark.createDataFrame(tables, "doc_id int, page int, top double, rows array<array<string>>"))
     assert [r.t for r in got.orderBy("table_no").select(layout.table_to_text(F.col("rows")).alias("t")).collect()] == ["A | B\nx | 1\ny | 2\n7 | 3", "C | D\nw | 9", "v | 8"]
-    lines = spark.createDataFrame([(1, 1, "one", 1.0, 2.0), (1, 1, "two", 3.0, 4.0), (1, 1, "after", 20.0, 21.0)], "doc_id int, page int, text string, top double, bottom double")
-    assert layout.headings_above(spark.createDataFrame([(1, 1, 10.0)], "doc_id int, page int, top double"), lines).first().heading == "two"
+    lines = spark.createDataFrame([(1, 1, "One", 1.0, 2.0), (1, 1, "Two", 3.0, 4.0), (1, 1, "three", 5.0, 6.0), (1, 1, "A sentence.", 7.0, 8.0), (1, 1, "After", 20.0, 21.0), (1, 2, "2.  Rates of 2024", 1.0, 2.0), (1, 3, "DRAFT", 1.0, 2.0)], "doc_id int, page int, text string, top double, bottom double")
+    above = layout.headings_above(spark.createDataFrame([(1, 1, 10.0), (1, 2, 10.0), (1, 3, 10.0), (1, 4, 1.0)], "doc_id int, page int, top double"), lines.withColumn("furniture", F.col("text") == "DRAFT"))
+    assert {r.page: r.heading for r in above.collect()} == {1: "Two", 2: "2 Rates of 2024", 3: "", 4: ""}
+    single = spark.createDataFrame([(1, 1, "page 3 of 9", 1.0, 2.0), (1, 1, "Confidential  draft", 96.0, 99.0), (1, 1, "AB-CD-2024-01 v2", 1.0, 2.0), (1, 1, "Page", 1.0, 2.0), (1, 1, "page 3 of 9", 50.0, 52.0), (1, 1, "draft law", 50.0, 52.0)], "doc_id int, page int, text string, top double, bottom double")
+    got = layout.mark_furniture(single, spark.createDataFrame([(1, 1, 100.0)], "doc_id int, page int, height double"))
+    assert sorted((r.text, r.top, r.furniture) for r in got.collect()) == [("AB-CD-2024-01 v2", 1.0, True), ("Confidential  draft", 96.0, True), ("Page", 1.0, False), ("draft law", 50.0, False), ("page 3 of 9", 1.0, True), ("page 3 of 9", 50.0, True)]
     doc = "intro " * 10 + "\n1. Definitions\n" + "meaning of words " * 4 + "\nPasal 2: Denda\nshort"
     got = layout.document_sections(spark.createDataFrame([(1, doc)], "doc_id int, text string"), fallback=F.lit("f")).collect()
     assert [r.title for r in got] == ["f", "1. Definitions"]

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 # Layout limits and heading patterns.
 LINE_TOLERANCE, MARGIN_BAND, REPEAT_SHARE, LEAST_SECTION = 3.0, 0.09, 0.66, 40
+# What is furniture in a margin whatever it repeats: page numbers, markings, document codes.
+ALWAYS = (r"(?i)^(page\s+)?\d+(\s+of\s+\d+)?$", r"(?i)(?U)\b(confidential|draft|internal use only)\b", r"^[A-Z]{2,6}-[A-Z]{2,4}-\d{4}-\d{2}\b")
+# The length that a heading without a number stays under, and how it doesn't end.
+LONGEST_HEADING, SENTENCE_END = 70, r"[.:;,]$"
 HEADINGS = (r"^(\d+)\.\s+([A-Z][^.]{3,70})$", r"(?i)^(Pasal\s+\d+)\s*:\s*(.+)$", r"(?i)^(Section\s+\d+)\s*[:.]\s*(.+)$")
 
 
@@ -33,17 +37,38 @@ def lines(words: DataFrame) -> DataFrame:
     return page.select("doc_id", "page", F.posexplode(F.aggregate("w", none, step)).alias("line_no", "l")).select("doc_id", "page", "line_no", "l.*")
 
 
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
 def mark_furniture(rows: DataFrame, heights: DataFrame) -> DataFrame:
-    """lines with `furniture`: in the top or bottom band, with a shape (digits as #) that enough pages share."""
+    """lines with `furniture`: whether a line's text is that of one in the top or bottom band which ALWAYS names, or whose
+    shape (digits as #) is in the bands of enough of its document's pages."""
     rows = rows.join(heights.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), "height"), (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")), "left").drop("_d", "_p")
     banded = (F.col("top") < F.col("height") * MARGIN_BAND) | (F.col("bottom") > F.col("height") * (1 - MARGIN_BAND))
-    rows = rows.withColumns({"_band": F.coalesce(banded, F.lit(False)), "_shape": F.regexp_replace(F.trim("text"), r"\d+", "#")})
+    rows = rows.withColumns({"_band": F.coalesce(banded, F.lit(False)), "_plain": _plain(F.col("text"))})
+    own = rows.where("_band").select("doc_id", "page", "_plain", F.regexp_replace("_plain", r"\d+", "#").alias("_shape"))
     pages = heights.groupBy(F.col("doc_id").alias("_pd")).agg(F.countDistinct("page").alias("n"))
-    seen = rows.where("_band").groupBy(F.col("doc_id").alias("_sd"), F.col("_shape").alias("_ss")).agg(F.countDistinct("page").alias("k"))
+    seen = own.groupBy(F.col("doc_id").alias("_sd"), F.col("_shape").alias("_ss")).agg(F.countDistinct("page").alias("k"))
     needed = F.greatest(F.lit(2), F.floor(F.col("n") * REPEAT_SHARE))
     common = seen.join(pages, F.col("_sd") == F.col("_pd")).where((F.col("n") >= 2) & (F.col("k") >= needed)).select("_sd", "_ss", F.lit(True).alias("_c"))
-    out = rows.join(common, (F.col("doc_id") == F.col("_sd")) & (F.col("_shape") == F.col("_ss")), "left")
-    return out.withColumn("furniture", F.col("_band") & F.coalesce("_c", F.lit(False))).drop("_band", "_shape", "_sd", "_ss", "_c", "height")
+    always = F.lit(False)
+    for p in ALWAYS:
+        always = always | F.col("_plain").rlike(p)
+    named = own.join(common, (F.col("doc_id") == F.col("_sd")) & (F.col("_shape") == F.col("_ss")), "left").where(F.coalesce("_c", F.lit(False)) | always)
+    named = named.select(F.col("doc_id").alias("_nd"), F.col("_plain").alias("_np")).distinct().withColumn("_f", F.lit(True))
+    out = rows.join(named, (F.col("doc_id") == F.col("_nd")) & (F.col("_plain") == F.col("_np")), "left")
+    return out.withColumn("furniture", F.coalesce("_f", F.lit(False))).drop("_band", "_plain", "_nd", "_np", "_f", "height")
+
+
+def heading_of(text: Column) -> Column:
+    """What a line says as a heading: its number and its title, or the whole of a short line that starts with a capital
+    and ends no sentence; else null."""
+    plain = _plain(text)
+    out = F.when((plain != "") & (F.length(plain) < LONGEST_HEADING) & plain.rlike(r"^\p{Lu}") & ~plain.rlike(SENTENCE_END), plain)
+    for p in reversed(HEADINGS):
+        out = F.when(plain.rlike(p), F.trim(F.concat(F.regexp_extract(plain, p, 1), F.lit(" "), F.regexp_extract(plain, p, 2)))).otherwise(out)
+    return out
 
 
 def header_like(row: Column) -> Column:
@@ -74,12 +99,16 @@ def table_to_text(rows: Column) -> Column:
 
 
 def headings_above(tables: DataFrame, rows: DataFrame) -> DataFrame:
-    """tables (doc_id, page, top) with `heading`, the last line above each on its page; an as-of join by union and window."""
-    a = rows.select("doc_id", "page", F.col("bottom").alias("y"), F.lit(0).alias("kind"), F.col("text").alias("_text"), F.lit(None).cast("double").alias("top"))
+    """tables (doc_id, page, top) with `heading`: of the lines that end above each on its page, the last that is a heading
+    and no furniture (if rows have that column), else empty; an as-of join by union and window."""
+    heading = heading_of(F.col("text"))
+    if "furniture" in rows.columns:
+        heading = F.when(~F.coalesce("furniture", F.lit(False)), heading)
+    a = rows.select("doc_id", "page", F.col("bottom").alias("y"), F.lit(0).alias("kind"), heading.alias("_text"), F.lit(None).cast("double").alias("top"))
     b = tables.select("doc_id", "page", F.col("top").alias("y"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("_text"), F.col("top").cast("double").alias("top"))
     order = Window.partitionBy("doc_id", "page").orderBy("y", "kind").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn("heading", F.last("_text", ignorenulls=True).over(order))
-    return both.where("kind = 1").select("doc_id", "page", "top", "heading")
+    return both.where("kind = 1").select("doc_id", "page", "top", F.coalesce("heading", F.lit("")).alias("heading"))
 
 
 def is_heading(text: Column) -> Column:

@@ -3,12 +3,12 @@ what each text comes to, stated by hand."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocab
-from ..operators import clean, conversation, nudges, privacy, signals, speech
+from ..operators import clean, conversation, layout, nudges, privacy, signals, speech
 from .catalogue import query, table
 
 
@@ -132,3 +132,36 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(at % 11 == 0, F.lit("r0")).otherwise(F.lit("")).alias("duplicate_of"), "content")
     found = clean.conflicts(rows)
     return found.select("topic", "business_unit", F.array_join("records", ",").alias("records"), F.array_join("claims", ";").alias("claims"), F.array_join("quotes", "|").alias("quotes"), "resolved_by", "authoritative", "superseded", "flag")
+
+
+#: What each page's words come to: four lines, the words of the table's box left out.
+LAYOUT_SQL = """
+WITH p AS (SELECT user_id AS doc_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+h AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'Loadings' WHEN event_id % 4 = 1 THEN 'and more' ELSE 'Section ' || page || ': Terms' END AS line, CASE WHEN event_id % 4 = 0 THEN 'Loadings' WHEN event_id % 4 = 1 THEN '' ELSE 'Section ' || page || ' Terms' END AS heading FROM p)
+SELECT doc_id, page, 0 AS line_no, 'Policy Guide' AS text, n >= 2 AS furniture, heading FROM h
+UNION ALL SELECT doc_id, page, 1, line, false, heading FROM h
+UNION ALL SELECT doc_id, page, 2, 'text ' || event_id || ' here.', false, heading FROM h
+UNION ALL SELECT doc_id, page, 3, 'page ' || page, true, heading FROM h
+"""
+
+
+@query(LAYOUT_SQL)
+def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as pages of their user's document: positioned words to lines, furniture, and the heading of a table."""
+    page = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    pages = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), page.alias("page"), "event_id")
+    at, no = F.col("event_id"), F.col("page").cast("string")
+    title = F.when(at % 4 == 0, F.array(F.lit("Loadings"))).when(at % 4 == 1, F.array(F.lit("and"), F.lit("more"))).otherwise(F.array(F.lit("Section"), F.concat(no, F.lit(":")), F.lit("Terms")))
+
+    def word(text: Column, top: float, x: float) -> Column:
+        return F.struct(text.alias("text"), F.lit(top).alias("top"), F.lit(top + 10).alias("bottom"), F.lit(x).alias("x0"), F.lit(x + 20).alias("x1"))
+
+    fixed = F.array(
+        word(F.lit("Guide"), 10.0, 60.0), word(F.lit("Policy"), 10.0, 5.0), word(F.lit("here."), 132.0, 90.0), word(F.lit("text"), 130.0, 5.0), word(at.cast("string"), 131.5, 40.0), word(F.lit("cell"), 215.0, 50.0),
+        word(F.lit("page"), 960.0, 5.0), word(no, 960.0, 50.0))
+    titled = F.transform(title, lambda t, i: F.struct(t.alias("text"), F.lit(100.0).alias("top"), F.lit(110.0).alias("bottom"), (5.0 + i * 40).alias("x0"), (25.0 + i * 40).alias("x1")))
+    words = pages.select("doc_id", "page", F.explode(F.concat(fixed, titled)).alias("w")).select("doc_id", "page", "w.*")
+    boxes = pages.select("doc_id", "page", F.lit(0.0).alias("left"), F.lit(500.0).alias("right"), F.lit(200.0).alias("upper"), F.lit(260.0).alias("lower"))
+    rows = layout.mark_furniture(layout.lines(layout.outside_tables(words, boxes)), pages.select("doc_id", "page", F.lit(1000.0).alias("height")))
+    above = layout.headings_above(pages.select("doc_id", "page", F.lit(200.0).alias("top")), rows).select("doc_id", "page", "heading")
+    return rows.join(above, ["doc_id", "page"]).select("doc_id", "page", "line_no", "text", "furniture", "heading")
