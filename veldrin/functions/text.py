@@ -41,6 +41,15 @@ def shingles_of(words: Column, size: int = 5) -> Column:
     return F.when(F.size(words) >= size, F.array_distinct(runs)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(none)
 
 
+def shingle_hashes(text: Column, size: int = 5) -> Column:
+    """The shingles of `shingles` as 64-bit hashes, each once: of the words themselves, without a string a shingle."""
+    def of(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
+        return F.when(F.size(words) >= size, F.array_distinct(runs)).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(tokens(text), of)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
