@@ -117,5 +117,19 @@ def test_query_matches_its_sql(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_plan_writes_no_table_and_reads_sums_once(spark):
+    from pathlib import Path
+
+    from veldrin.llm.common import shared_dir
+
+    written = Path(shared_dir(spark).removeprefix("file:"), "veldrin")
+    before = set(written.glob("mix-*"))
+    docs = [(i, "w " * (i % 7), "abc"[i % 3]) for i in range(300)]
+    plan = mixing.plan_mix(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    assert len(plan.collect()) == 300 and set(written.glob("mix-*")) == before
+    ran = plan._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert ran.count("ReusedExchange") == 1 and ran.count("functions=[partial_sum(size") == 1
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0

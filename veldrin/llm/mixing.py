@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cleared, packed, quoted, stage, unpacked
+from .common import WORD, cleared, packed, quoted, unpacked
 
 ADDED = ["size", "source_size", "target", "taken", "positions"]
 WEIGHTS = (3, 1, 2)
@@ -66,7 +66,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     """docs with size, source_size, target, taken and positions, the training times of each copy in order.
 
     Sums are taken per source and bucket of the hash first, so the running sum of a source, however large, is a short
-    one over its buckets and then one within each bucket; no task gathers a source.
+    one over its buckets and then one within each bucket; no task gathers a source. Targets and starts read the sums
+    from one exchange, so nothing is written on the way.
     """
     docs = cleared(docs, ADDED if size is None else [c for c in ADDED if c != size.lower()])
     hashed = F.conv(F.substring(F.md5(F.coalesce(quoted(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
@@ -74,14 +75,14 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
         docs, (quoted(size).cast("long") if size else word_count(text)).alias("size"), hashed.alias("h"), quoted(id_col).alias("id"),
         F.concat(F.when(quoted(source).isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce(quoted(source).cast("string"), F.lit(""))).alias("key"),
     ).withColumn("bucket", F.shiftright("h", 60 - (BUCKETS.bit_length() - 1)))
-    sums = stage(rows.groupBy("key", "bucket").agg(F.sum("size").alias("n")), "mix")
+    sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("n"))
     goal = targets(sums.groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("source_size")), total_share, passes, weights)
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).join(goal, F.col("key") == F.col("_key")).select(
         F.col("key").alias("_k"), F.col("bucket").alias("_b"), "start", "source_size", "target", "place")
     inside = Window.partitionBy("key", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(starts, (F.col("key") == F.col("_k")) & (F.col("bucket") == F.col("_b"))).withColumn(
-        "at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.join(starts, (F.col("key") == F.col("_k")) & (F.col("bucket") == F.col("_b"))).withColumn("at", F.col("start") + F.col("at"))
 
     def at(j: int) -> Column:
         c = F.col("at") + j * F.col("source_size")
